@@ -40,3 +40,8 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     path = fresh_dir(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Few rows in an Arrow batch: whole texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding, tokens, toxicity, warc
+from . import minhash, mixing, sharding, tokens, toxicity, warc
 from .common import table
 
 
@@ -32,8 +32,12 @@ def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_warc, op9_token_files, op7_mix_sources, op8_hilbert_shards)}
+    return {f.__name__: f for f in (op1_toxicity, op3_warc, op9_token_files, op7_mix_sources, op8_hilbert_shards, op10_bagminhash)}
 
 
 def oracle_sql() -> dict[str, str]:
