@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, sharding, tokens, toxicity, warc
+from . import decontam, minhash, mixing, sharding, tokens, toxicity, warc
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -37,7 +41,7 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_warc, op9_token_files, op7_mix_sources, op8_hilbert_shards, op10_bagminhash)}
+    return {f.__name__: f for f in (op1_toxicity, op3_warc, op5_template_decontamination, op9_token_files, op7_mix_sources, op8_hilbert_shards, op10_bagminhash)}
 
 
 def oracle_sql() -> dict[str, str]:
