@@ -8,6 +8,8 @@ from pyarrow import fs as arrow_fs
 
 
 def opened(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[len("file:") :]
     return arrow_fs.FileSystem.from_uri(path)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, minhash, mixing, sharding, tokens, toxicity, warc
+from . import decontam, minhash, mixing, sharding, suffixes, tokens, toxicity, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
@@ -41,7 +45,7 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_warc, op5_template_decontamination, op9_token_files, op7_mix_sources, op8_hilbert_shards, op10_bagminhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_suffix_array, op3_warc, op5_template_decontamination, op9_token_files, op7_mix_sources, op8_hilbert_shards, op10_bagminhash)}
 
 
 def oracle_sql() -> dict[str, str]:
