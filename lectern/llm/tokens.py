@@ -5,6 +5,8 @@ the boundaries (start of each document and the end of the last) as an Elias-Fano
 packed, high bits in unary, a position sample for every 256th boundary so that select(i) looks at one
 short stretch - then the doc_ids and a footer. A boundary costs about 2 + log2(ids / documents) bits.
 
+Ids take 2 bytes each while the vocabulary has at most 65,536 entries, else 4.
+
     file   = ids | low | high | samples | doc_ids | nulls | footer (JSON) | its length (4 bytes) | MAGIC
 
 Defined results: a null text is empty and holds the end id alone; null doc_ids come first; rows with one
@@ -84,7 +86,7 @@ class EliasFano:
 
 
 class Encoder(dict):
-    """UTF-8 pieces between ASCII white space to their ids (little-endian 32 bits), remembered up to CACHE pieces.
+    """UTF-8 pieces between ASCII white space to their ids (little-endian), remembered up to CACHE pieces.
 
     The vocabulary's pre-tokeniser drops white space and no token crosses it, so a text's ids are its
     pieces' ids end to end. A piece of Latin letters and trailing marks is two pre-tokens, whose ids are
@@ -99,8 +101,12 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.parts: dict[str, bytes] = {}
 
+    @property
+    def dtype(self) -> str:
+        return "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def part(self, text: str) -> bytes:
         if (found := self.parts.get(text)) is None:
@@ -139,8 +145,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     """Writes the files; returns their manifest (part, path, n_docs, n_ids), one row per file, in doc_id order."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer).encode
-        end = np.array([end_id], dtype="<u4").tobytes()
+        encode, dtype = encoder(tokenizer).encode, encoder(tokenizer).dtype
+        width = np.dtype(dtype).itemsize
+        end = np.array([end_id], dtype=dtype).tobytes()
         part, path, out = TaskContext.get().partitionId(), None, None
         starts, ids, total = [0], [], 0
         for batch in batches:
@@ -149,7 +156,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
             for text in batch["text"]:
                 found = encode(text) + end
                 out.write(found)
-                total += len(found) // 4
+                total += len(found) // width
                 starts.append(total)
             ids.append(batch["doc_id"])
         if out is None:
@@ -161,7 +168,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
             "low": bounds.low, "high": bounds.high, "samples": bounds.samples.tobytes(),
             "doc_ids": keys.fillna(0).to_numpy(dtype="<i8").tobytes(), "nulls": nulls,
         }
-        foot = json.dumps({"n_docs": len(keys), "n_ids": total, "sizes": {k: len(v) for k, v in parts.items()}}).encode()
+        foot = json.dumps({"n_docs": len(keys), "n_ids": total, "dtype": dtype, "sizes": {k: len(v) for k, v in parts.items()}}).encode()
         for piece in (*parts.values(), foot, len(foot).to_bytes(4, "little"), MAGIC):
             out.write(piece)
         out.close()
@@ -199,7 +206,7 @@ def footer(f) -> tuple[dict, EliasFano, np.ndarray, np.ndarray]:
     n = int.from_bytes(tail[:4], "little")
     f.seek(size - len(MAGIC) - 4 - n)
     head = json.loads(f.read(n))
-    f.seek(head["n_ids"] * 4)
+    f.seek(head["n_ids"] * np.dtype(head["dtype"]).itemsize)
     low, high, samples, doc_ids, nulls = (f.read(head["sizes"][k]) for k in ("low", "high", "samples", "doc_ids", "nulls"))
     bounds = EliasFano(head["n_docs"] + 1, head["n_ids"], low, high, samples)
     empty = np.unpackbits(np.frombuffer(nulls, np.uint8))[: head["n_docs"]].astype(bool)
@@ -209,11 +216,12 @@ def footer(f) -> tuple[dict, EliasFano, np.ndarray, np.ndarray]:
 def _documents(f, base: int, chunk: int = 1 << 20) -> Iterator[pd.DataFrame]:
     head, bounds, doc_ids, empty = footer(f)
     starts = bounds.values()
+    width = np.dtype(head["dtype"]).itemsize
     lo = 0
     while lo < head["n_docs"]:
         hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + chunk, "right")) - 1)
-        f.seek(int(starts[lo]) * 4)
-        raw = f.read(int(starts[hi] - starts[lo]) * 4)
+        f.seek(int(starts[lo]) * width)
+        raw = np.frombuffer(f.read(int(starts[hi] - starts[lo]) * width), head["dtype"]).astype("<u4").tobytes()
         cuts = (starts[lo : hi + 1] - starts[lo]) * 4
         sums = [zlib.crc32(raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
         yield pd.DataFrame({
@@ -225,10 +233,11 @@ def _documents(f, base: int, chunk: int = 1 << 20) -> Iterator[pd.DataFrame]:
 
 def document(f, i: int) -> np.ndarray:
     """Ids of the i-th document of an open token file, by two selects and one read."""
-    _, bounds, _, _ = footer(f)
+    head, bounds, _, _ = footer(f)
+    width = np.dtype(head["dtype"]).itemsize
     a, b = bounds.select(i), bounds.select(i + 1)
-    f.seek(a * 4)
-    return np.frombuffer(f.read((b - a) * 4), "<u4")
+    f.seek(a * width)
+    return np.frombuffer(f.read((b - a) * width), head["dtype"])
 
 
 def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
