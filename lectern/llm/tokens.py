@@ -85,12 +85,24 @@ class EliasFano:
         return v
 
 
+def byte_alphabet() -> list[str]:
+    """The character a byte-level pre-tokeniser writes for each byte: printable Latin-1 stands for itself,
+    the rest follow each other from code point 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+
+
+_ALPHABET = byte_alphabet()
+
+
 class Encoder(dict):
     """UTF-8 pieces between ASCII white space to their ids (little-endian), remembered up to CACHE pieces.
 
     The vocabulary's pre-tokeniser drops white space and no token crosses it, so a text's ids are its
     pieces' ids end to end. A piece of Latin letters and trailing marks is two pre-tokens, whose ids are
-    remembered by themselves."""
+    remembered by themselves; a lower-cased word of Latin letters is one pre-token as it stands and goes to
+    the library's model at once, past normaliser and pre-tokeniser."""
 
     SPLIT = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|%$*&#]*)")
 
@@ -99,12 +111,9 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.parts: dict[str, bytes] = {}
 
-    @property
-    def dtype(self) -> str:
-        return "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
@@ -115,10 +124,19 @@ class Encoder(dict):
             found = self.parts[text] = self.ids(text)
         return found
 
+    def word(self, text: str) -> bytes:
+        if (found := self.parts.get(text)) is None:
+            if len(self.parts) >= CACHE:
+                self.parts.clear()
+            form = text if text.isascii() else "".join(_ALPHABET[b] for b in text.encode())
+            found = np.array([t.id for t in self.tokenizer.model.tokenize(form)], dtype=self.dtype).tobytes()
+            self.parts[text] = found
+        return found
+
     def __missing__(self, piece: bytes) -> bytes:
         text = piece.decode()
         if m := self.SPLIT.fullmatch(text):
-            found = self.part(m[1].lower()) + (self.part(m[2]) if m[2] else b"")
+            found = self.word(m[1].lower()) + (self.part(m[2]) if m[2] else b"")
         else:
             found = self.ids(text)
         if len(self) >= CACHE:
