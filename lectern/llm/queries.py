@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, minhash, mixing, sharding, suffixes, tokens, toxicity, warc
+from . import decontam, embeddings, minhash, mixing, sharding, suffixes, tokens, toxicity, warc
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op6_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,7 +49,7 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_suffix_array, op3_warc, op5_template_decontamination, op9_token_files, op7_mix_sources, op8_hilbert_shards, op10_bagminhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_suffix_array, op3_warc, op5_template_decontamination, op6_projection_passes, op9_token_files, op7_mix_sources, op8_hilbert_shards, op10_bagminhash)}
 
 
 def oracle_sql() -> dict[str, str]:
