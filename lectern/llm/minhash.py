@@ -13,7 +13,9 @@ make candidates among the classes: all pairs of a bucket of up to `SMALL` classe
 each class with the bucket's centre, which differs by band. After the links found so far are joined to
 components, the classes of a larger bucket that are not in its most frequent component are compared
 with all its classes of other components, so that no pair of a bucket between different components goes
-untested. Candidates are verified on the exact multisets: shared / united >= THRESHOLD.
+untested. That is done in tiles of at most `TILE` classes or `TILE_SHINGLES` shingles a side: a text goes to
+a tile once, not once for each pair, and overlaps are products of incidence matrices. Candidates are
+verified on the exact multisets: shared / united >= THRESHOLD.
 
 Defined results: null and empty texts, and those without words, are one class and link with nothing
 else; a text of fewer than five words has one shingle of all its words; a null doc_id has no class and
@@ -40,6 +42,8 @@ REGISTERS = BANDS * ROWS
 DEPTH = 3
 THRESHOLD = 0.8
 SMALL = 16
+TILE = 1024
+TILE_SHINGLES = 400_000
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -116,6 +120,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ]
             yield pd.DataFrame({
                 "doc_id": ids[lo:hi], "bag": digests,
+                "shingles": np.bincount(own, weights=count, minlength=hi - lo).astype(np.int64),
                 "bands": [k if b > a else None for k, a, b in zip(keys, first[:-1], first[1:])],
             })
 
@@ -159,18 +164,18 @@ def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) for every row with a doc_id; class_id is the smallest doc_id that links reach."""
     small_batches(docs.sparkSession)
     known = docs.select("doc_id", "text").where("doc_id is not null")
-    signed = stored(known.mapInPandas(_sign, "doc_id long, bag binary, bands array<long>"), "bands")
+    signed = stored(known.mapInPandas(_sign, "doc_id long, bag binary, shingles long, bands array<long>"), "bands")
     members = signed.groupBy("bag").agg(F.min("doc_id").alias("node"))
     nodes = stored(
-        signed.where("bands is not null").groupBy("bag").agg(F.min(F.struct("doc_id", "bands")).alias("first"))
-        .select("first.doc_id", "first.bands"),
+        signed.where("bands is not null").groupBy("bag").agg(F.min(F.struct("doc_id", "shingles", "bands")).alias("first"))
+        .select("first.doc_id", "first.shingles", "first.bands"),
         "nodes",
     )
-    rows = nodes.select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("band", "key"))
+    rows = nodes.select(F.col("doc_id").alias("node"), "shingles", F.posexplode("bands").alias("band", "key"))
     centre = F.min(F.struct(F.xxhash64("node", "band").alias("lot"), F.col("node"))).alias("centre")
     buckets = rows.groupBy("band", "key").agg(F.count("*").alias("held"), centre).where("held > 1")
     dealt = stored(
-        rows.join(buckets, ["band", "key"]).select("band", "key", "node", "held", F.col("centre.node").alias("centre")),
+        rows.join(buckets, ["band", "key"]).select("band", "key", "node", "shingles", "held", F.col("centre.node").alias("centre")),
         "buckets",
     )
     few = dealt.where(F.col("held") <= SMALL).select("band", "key", "node")
@@ -186,32 +191,92 @@ def classes(docs: DataFrame) -> DataFrame:
     # repeated ids and equal multisets are links too
     copies = signed.join(members, "bag").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     if large.take(1):
-        links = links.unionByName(verified(_open_pairs(dealt, components(links)), texts))
-        links = stored(links, "links")
+        links = links.unionByName(stored(_open_links(dealt, components(links), texts), "links"))
     joined = components(links.unionByName(copies))
     return signed.select("doc_id").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "doc_id", F.coalesce("component", "doc_id").alias("class_id")
     )
 
 
-def _open_pairs(dealt: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of a large bucket with one end outside its most frequent component, in different components."""
+def _copies(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, shingle copy, shingles of each text): the k-th copy of a shingle in a text is a thing of its own,
+    so that overlaps of multisets are overlaps of sets."""
+    owners, things = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
+    for lo, _, data, offsets in packed(texts):
+        own, shingle, count = bags(*windows(*word_hashes(data, offsets)))
+        copy = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        owners.append(np.repeat(own, count) + lo)
+        things.append(mix(np.repeat(shingle, count) + copy.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    owner = np.concatenate(owners)
+    return owner, np.concatenate(things), np.bincount(owner, minlength=len(texts))
+
+
+def overlaps(left: list[str | None], right: list[str | None], columns: int = 4096) -> np.ndarray:
+    """Weighted Jaccard similarity of every left with every right text."""
+    (a, x, n), (b, y, m) = _copies(left), _copies(right)
+    common = np.intersect1d(x, y)
+    shared = np.zeros((len(left), len(right)))
+    if len(common):
+        parts = []
+        for owner, thing in ((a, x), (b, y)):
+            at = np.searchsorted(common, thing)
+            at[at == len(common)] = 0
+            hit = common[at] == thing
+            order = np.argsort(at[hit], kind="stable")
+            parts.append((owner[hit][order], at[hit][order]))
+        for lo in range(0, len(common), columns):
+            dense = []
+            for (owner, at), rows in zip(parts, (len(left), len(right))):
+                i, j = np.searchsorted(at, [lo, lo + columns])
+                grid = np.zeros((rows, min(columns, len(common) - lo)), dtype=np.float32)
+                grid[owner[i:j], at[i:j] - lo] = 1
+                dense.append(grid)
+            shared += dense[0] @ dense[1].T
+    union = n[:, None] + m[None, :] - shared
+    return np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
+
+
+def _tile_links(key: tuple, minor: pd.DataFrame, every: pd.DataFrame) -> pd.DataFrame:
+    """For each class of `minor` a link into each other component of `every` that it is similar to."""
+    out = []
+    if len(minor) and len(every):
+        alike = overlaps(minor["text"].tolist(), every["text"].tolist()) >= THRESHOLD
+        mine, theirs = minor["component"].to_numpy(), every["component"].to_numpy()
+        alike &= mine[:, None] != theirs[None, :]
+        i, j = np.nonzero(alike)
+        _, first = np.unique(np.column_stack([i, theirs[j]]), axis=0, return_index=True) if len(i) else (None, [])
+        a, b = minor["node"].to_numpy(), every["node"].to_numpy()
+        out = [(min(a[i[k]], b[j[k]]), max(a[i[k]], b[j[k]])) for k in first]
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def _open_links(dealt: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links of large buckets between a class outside the bucket's most frequent component and any class of
+    another component."""
     inside = stored(
         dealt.where(F.col("held") > SMALL).join(found.withColumnRenamed("id", "node"), "node", "left")
-        .select("band", "key", "node", F.coalesce("component", "node").alias("component")),
+        .select("band", "key", "node", "shingles", F.coalesce("component", "node").alias("component")),
         "open",
     )
-    sizes = inside.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "component")).alias("top"))
-    minor = inside.join(main, ["band", "key"]).where("component <> top.component").select(
-        "band", "key", F.col("node").alias("p"), F.col("component").alias("cp")
+    sizes = inside.groupBy("band", "key", "component").agg(F.count("*").alias("n"), F.sum("shingles").alias("w"))
+    main = (
+        sizes.groupBy("band", "key")
+        .agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+        .where("parts > 1")
+        .select("band", "key", F.col("top.component").alias("main"),
+                F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("w") / TILE_SHINGLES)).cast("int").alias("sides"))
     )
-    return (
-        minor.join(inside.select("band", "key", F.col("node").alias("q"), F.col("component").alias("cq")), ["band", "key"])
-        .where("cp <> cq")
-        .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
-        .distinct()
+    placed = (
+        inside.join(main, ["band", "key"])
+        .withColumn("side", F.pmod(F.xxhash64("node", "band"), F.col("sides")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     )
+    words = texts.select(F.col("doc_id").alias("node"), "text")
+    keep = [F.col(c).alias(c) for c in ("band", "key", "i", "j", "node", "component", "text")]
+    minor = placed.where("component <> main").selectExpr("*", "side as i", "other as j").join(words, "node").select(*keep)
+    every = placed.selectExpr("*", "other as i", "side as j").join(words, "node").select(*keep)
+    tile = ["band", "key", "i", "j"]
+    return minor.groupBy(*tile).cogroup(every.groupBy(*tile)).applyInPandas(_tile_links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
