@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, embeddings, minhash, mixing, sharding, suffixes, tokens, toxicity, warc
+from . import decontam, embeddings, minhash, mixing, quality, sharding, suffixes, tokens, toxicity, warc
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,7 +53,7 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_suffix_array, op3_warc, op5_template_decontamination, op6_projection_passes, op9_token_files, op7_mix_sources, op8_hilbert_shards, op10_bagminhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_suffix_array, op3_warc, op4_kneser_ney, op5_template_decontamination, op6_projection_passes, op9_token_files, op7_mix_sources, op8_hilbert_shards, op10_bagminhash)}
 
 
 def oracle_sql() -> dict[str, str]:
