@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matching, scalar  # noqa: F401  (they register queries)
+from . import canonical, matching, scalar  # noqa: F401  (they register queries)
 from .registry import ORACLES, QUERIES
 
 
