@@ -252,7 +252,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without the contaminated ones."""
-    found = matches(docs, benchmark).select(F.col("doc_id").alias("leak_id"), F.col("text_key").alias("leak_key")).distinct()
+    found = matches(docs, benchmark).select(F.col("doc_id").alias("__leak_id"), F.col("text_key").alias("__leak_key")).distinct()
     return docs.join(
-        found, F.col("doc_id").eqNullSafe(F.col("leak_id")) & (F.xxhash64("text") == F.col("leak_key")), "left_anti"
+        found, F.col("doc_id").eqNullSafe(F.col("__leak_id")) & (F.xxhash64("text") == F.col("__leak_key")), "left_anti"
     )

@@ -290,10 +290,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """`docs` with one document of each class."""
-    kept = classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("__kept_id")).distinct()
     once = W.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
     named = (
-        docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-        .withColumn("near_copy", F.row_number().over(once)).where("near_copy = 1").drop("near_copy")
+        docs.join(kept, F.col("doc_id") == F.col("__kept_id"), "left_semi")
+        .withColumn("__near_copy", F.row_number().over(once)).where("__near_copy = 1").drop("__near_copy")
     )
     return named.unionByName(docs.where("doc_id is null"))

@@ -113,14 +113,14 @@ def apply_mix(docs: DataFrame, weights=(3, 1, 2), share=1.5, most=2.0, seed="mix
         .groupBy("source").agg(F.max("key").alias("last"))
     )
     rule = sources.alias("s").join(cuts.alias("c"), F.expr("s.source <=> c.source"), "left").select(
-        F.col("s.source").alias("mix_source"), F.col("whole").alias("mix_whole"), F.col("last").alias("mix_last")
+        F.col("s.source").alias("__mix_source"), F.col("whole").alias("__mix_whole"), F.col("last").alias("__mix_last")
     )
-    times = F.col("mix_whole") + F.when(F.col("mix_key") <= F.col("mix_last"), 1).otherwise(0)
+    times = F.col("__mix_whole") + F.when(F.col("__mix_key") <= F.col("__mix_last"), 1).otherwise(0)
     return (
-        docs.withColumn("mix_key", random_key("doc_id", seed))
-        .join(rule, F.expr("source <=> mix_source"))
+        docs.withColumn("__mix_key", random_key("doc_id", seed))
+        .join(rule, F.expr("source <=> __mix_source"))
         .where(times > 0)
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long"))))
+        .withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long"))))
         .select(*docs.columns)
     )
 

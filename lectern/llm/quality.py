@@ -127,8 +127,8 @@ def _order_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def log_probabilities(trusted: DataFrame, grams: DataFrame) -> DataFrame:
-    """(lang, gram, logp) for every row of `grams` (lang, gram); `trusted` has (lang, gram, n)."""
-    counts, out = trusted, grams
+    """(lang, gram, logp) for every row of `grams` (lang, gram) whose lang is in `trusted` (lang, gram, n)."""
+    counts, out = trusted, grams.join(trusted.select("lang").distinct(), "lang", "left_semi")
     for order in range(ORDER, 0, -1):
         shares, contexts = _order_tables(counts)
         mask = (1 << BITS * order) - 1

@@ -23,8 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 6000
-FEATURES = 40_000
+SAMPLE = 4000
+FEATURES = 12_000
 ORDERS = (4, 6, 8)
 BITS = 22
 LEAST_DF = 3
@@ -91,15 +91,15 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"gram": part.astype(np.int32), "clean": counts[0, part], "toxic": counts[1, part]})
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """(weights by hashed n-gram, bias), from the labelled rows of the training fold."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """(hashed n-grams, their weights, bias), from the labelled rows of the training fold."""
     sample = _sample(docs, labels)
     sizes = {int(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
-    weights = np.zeros(1 << BITS)
+    nothing = np.zeros(0, dtype=np.int32), np.zeros(0)
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
         rate = (n1 + 1) / (n0 + n1 + 2)
-        return weights, float(np.log(rate / (1 - rate)))
+        return *nothing, float(np.log(rate / (1 - rate)))
     counted = (
         sample.mapInPandas(_count_grams, "gram int, clean int, toxic int")
         .groupBy("gram").agg(F.sum("clean").alias("q"), F.sum("toxic").alias("p"))
@@ -107,16 +107,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         .withColumn("ratio", F.log((F.col("p") + 1) / (n1 + 2)) - F.log((F.col("q") + 1) / (n0 + 2)))
         .withColumn("evidence", F.abs("ratio") * F.sqrt(F.col("p") / n1 + F.col("q") / n0))
         .orderBy(F.desc("evidence"), "gram").limit(FEATURES)
-        .select("gram", "ratio").toPandas()
+        .select("gram", "ratio").toPandas().sort_values("gram")
     )
     if not len(counted):
         rate = (n1 + 1) / (n0 + n1 + 2)
-        return weights, float(np.log(rate / (1 - rate)))
+        return *nothing, float(np.log(rate / (1 - rate)))
     ids = counted["gram"].to_numpy()
     ratio = counted["ratio"].to_numpy(dtype=float)
-    place = np.full(1 << BITS, -1, dtype=np.int32)
-    place[ids] = np.arange(len(ids))
-    chosen = sample.sparkSession.sparkContext.broadcast(np.sort(ids))
+    chosen = sample.sparkSession.sparkContext.broadcast(ids)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keep = np.zeros(1 << BITS, dtype=bool)
@@ -127,10 +125,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
 
     rows = sample.mapInPandas(features, "doc_id long, toxic int, grams binary").toPandas()
     rows = rows.sort_values(["doc_id", "toxic"], kind="stable")
-    lists = [place[np.frombuffer(b, dtype=np.int32)] for b in rows["grams"]]
+    lists = [np.searchsorted(ids, np.frombuffer(b, dtype=np.int32)).astype(np.int32) for b in rows["grams"]]
     beta, bias = logistic(lists, ratio, rows["toxic"].to_numpy(dtype=float))
-    weights[ids] = beta * ratio
-    return weights, bias
+    return ids, beta * ratio, bias
 
 
 def logistic(lists: list[np.ndarray], scale: np.ndarray, y: np.ndarray, l2: float = 3e-4, lift: float = 2.0) -> tuple[np.ndarray, float]:
@@ -138,8 +135,9 @@ def logistic(lists: list[np.ndarray], scale: np.ndarray, y: np.ndarray, l2: floa
     A row of label 1 weighs `lift`: the rarer class keeps its say at the 0.5 threshold."""
     lengths = np.array([len(x) for x in lists])
     cols = np.concatenate(lists) if len(lists) else np.zeros(0, dtype=int)
-    row = np.repeat(np.arange(len(lists)), lengths)
-    vals = scale[cols]
+    cols = cols.astype(np.int32)
+    row = np.repeat(np.arange(len(lists), dtype=np.int32), lengths)
+    vals = scale.astype(np.float32)[cols]
     n, d = len(y), len(scale)
     share = np.where(y > 0, lift, 1.0)
     share /= share.sum()
@@ -188,32 +186,32 @@ def logistic(lists: list[np.ndarray], scale: np.ndarray, y: np.ndarray, l2: floa
     return theta[:d], float(theta[d])
 
 
-def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
-    """`docs` with score (0 to 1) and predicted (1 if score >= 0.5)."""
-    at = np.flatnonzero(weights).astype(np.int32)
-    sent = docs.sparkSession.sparkContext.broadcast((at, weights[at], bias))  # FEATURES entries at most
+def score(docs: DataFrame, ids: np.ndarray, weights: np.ndarray, bias: float, into: str = "score") -> DataFrame:
+    """`docs` with a column `into`: the probability of label 1."""
+    sent = docs.sparkSession.sparkContext.broadcast((ids, weights, bias))  # FEATURES entries at most
     held: dict = {}
 
     @F.pandas_udf("double")
     def probability(texts: pd.Series) -> pd.Series:
         if "w" not in held:
-            ids, values, held["b"] = sent.value
+            grams_, values, held["b"] = sent.value
             held["w"] = np.zeros(1 << BITS)
-            held["w"][ids] = values
+            held["w"][grams_] = values
         z = margins(texts.tolist(), held["w"], held["b"])
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
-    return docs.withColumn("score", probability("text")).withColumn(
-        "predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0)
-    )
+    return docs.withColumn(into, probability("text"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of `docs`."""
     scored = score(docs.select("doc_id", "text"), *fit(docs, labels))
-    return scored.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+    return scored.select(
+        "doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` without the rows predicted toxic."""
-    return score(docs, *fit(docs, labels)).where("predicted = 0").select(*docs.columns)
+    return score(docs, *fit(docs, labels), into="__toxicity").where("__toxicity < 0.5").select(*docs.columns)
