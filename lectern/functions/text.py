@@ -51,6 +51,7 @@ def strip_html(c: Column) -> Column:
 def latex_to_text(c: Column) -> Column:
     """Formulas out, accent macros to their letter, other macros to their argument."""
     out = F.regexp_replace(c, r"\$[^$]*\$", "")
+    out = F.regexp_replace(out, r"\{(\\[\"'`^~=.]\s*\{?\\?[A-Za-z]\}?)\}", "$1")
     out = F.regexp_replace(out, r"\\[\"'`^~=.]\s*\{?\\?([A-Za-z])\}?", "$1")
     out = F.regexp_replace(out, r"\\[A-Za-z]+\s*\{([^{}]*)\}", "$1")
     return F.regexp_replace(out, r"\\([&%$#_])", "$1")
