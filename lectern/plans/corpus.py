@@ -179,7 +179,7 @@ def root_children_check(t: DataFrame) -> DataFrame:
     return t.select("dir").distinct().join(allowed, "dir", "left_anti")
 
 
-@query("best_item", "v_records", sql="SELECT work_id, arg_min(seq, -length(title) * 100000000 + seq) AS seq FROM v_records WHERE length(title) > 12 GROUP BY work_id")
+@query("best_item", "v_records", sql="SELECT work_id, arg_min(seq, -length(title) * 10000000000000 + seq) AS seq FROM v_records WHERE length(title) > 12 GROUP BY work_id")
 def best_item(t: DataFrame) -> DataFrame:
     return t.where("length(title) > 12").groupBy("work_id").agg(F.min_by("seq", F.struct(-F.length("title"), "seq")).alias("seq"))
 

@@ -27,7 +27,7 @@ _TITLE = "p_name || ' ' || lower(p_type)"
 
 VIEWS = {
     "v_records": f"""
-        SELECT l_partkey AS work_id, l_orderkey * 10 + l_linenumber AS seq, CAST(l_suppkey % 12 AS int) AS source_rank,
+        SELECT l_partkey AS work_id, (l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey % 100 * 1000 + CAST(l_quantity AS int) * 10 + CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS seq, CAST(l_suppkey % 12 AS int) AS source_rank,
           {_SOURCE} AS source,
           CASE WHEN l_linestatus = 'O' THEN 'article' ELSE 'inproceedings' END AS type,
           CASE l_linenumber % 4 WHEN 0 THEN p_name || ' et al...' WHEN 1 THEN {_TITLE} || ' in detail' ELSE {_TITLE} END AS title,
