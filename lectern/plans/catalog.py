@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import canonical, corpus, matching, planning, scalar, streams  # noqa: F401  (they register queries)
+from . import canonical, corpus, matching, planning, provider, scalar, streams  # noqa: F401  (they register queries)
 from .registry import ORACLES, QUERIES
 
 

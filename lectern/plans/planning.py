@@ -53,10 +53,10 @@ def plan_expansion(t: DataFrame) -> DataFrame:
 
 @query("plan_venue", "v_articles", sql="""WITH p AS (SELECT id, CASE id % 6 WHEN 3 THEN 0.8 WHEN 5 THEN 0.3 ELSE 0.9 END AS confidence FROM v_articles WHERE origin <> 'dblp') SELECT id, CASE WHEN confidence >= 0.5 THEN 'crossref.venue_search' ELSE 'not_applicable' END AS disposition FROM p""")
 def plan_venue(t: DataFrame) -> DataFrame:
-    from lectern.functions.publication import parse
+    from lectern.functions.publication import parse, prepared
 
     accepted = t.where("origin = 'dblp'").select("id")
-    open_ = t.join(accepted, "id", "left_anti").withColumn("c", parse(F.col("publication"))["confidence"])
+    open_ = t.join(accepted, "id", "left_anti").select("id", prepared("publication").alias("s")).select("id", parse(F.col("s"))["confidence"].alias("c"))
     return open_.select("id", F.when(F.col("c") >= 0.5, "crossref.venue_search").otherwise("not_applicable").alias("disposition"))
 
 

@@ -270,6 +270,6 @@ def author_dirname(t: DataFrame) -> DataFrame:
  CASE id % 6 WHEN 0 THEN (id % 300) || '-' || (id % 300 + 9) WHEN 2 THEN '1-9' WHEN 3 THEN '5-8' ELSE '' END AS pages, year,
  CASE id % 6 WHEN 0 THEN 0.95 WHEN 1 THEN 0.95 WHEN 2 THEN 0.9 WHEN 3 THEN 0.8 WHEN 4 THEN 0.9 ELSE 0.3 END::DOUBLE AS confidence FROM v_articles""")
 def parse_publication(t: DataFrame) -> DataFrame:
-    from lectern.functions.publication import parse
+    from lectern.functions.publication import parse, prepared
 
-    return t.select("id", parse(F.col("publication")).alias("p")).select("id", "p.*")
+    return t.select("id", prepared("publication").alias("s")).select("id", parse(F.col("s")).alias("p")).select("id", "p.*")
