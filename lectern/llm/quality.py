@@ -130,7 +130,9 @@ def log_probabilities(trusted: DataFrame, grams: DataFrame) -> DataFrame:
     """(lang, gram, logp) for every row of `grams` (lang, gram) whose lang is in `trusted` (lang, gram, n)."""
     counts, out = trusted, grams.join(trusted.select("lang").distinct(), "lang", "left_semi")
     for order in range(ORDER, 0, -1):
-        shares, contexts = _order_tables(counts)
+        # stored at each order: the plan stays small however many orders there are
+        counts = stored(counts, "counts")
+        shares, contexts = (stored(t, "shares").hint("merge") for t in _order_tables(counts))
         mask = (1 << BITS * order) - 1
         out = (
             out.withColumn("g", F.col("gram").bitwiseAND(F.lit(mask)))
@@ -139,6 +141,7 @@ def log_probabilities(trusted: DataFrame, grams: DataFrame) -> DataFrame:
             .join(contexts.select(F.col("lang"), F.col("context").alias("c"), F.col("rest").alias(f"r{order}")), ["lang", "c"], "left")
             .drop("g", "c")
         )
+        out = stored(out, "joined")
         counts = counts.groupBy("lang", F.col("gram").bitwiseAND(F.lit(mask >> BITS)).alias("gram")).agg(F.count("*").alias("n"))
     p: Column = F.lit(1.0 / (1 << BITS))
     for order in range(1, ORDER + 1):
