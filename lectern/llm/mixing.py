@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 
 from .common import cut
 
+BROADCAST = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -115,6 +116,8 @@ def apply_mix(docs: DataFrame, weights=(3, 1, 2), share=1.5, most=2.0, seed="mix
     rule = sources.alias("s").join(cuts.alias("c"), F.expr("s.source <=> c.source"), "left").select(
         F.col("s.source").alias("__mix_source"), F.col("whole").alias("__mix_whole"), F.col("last").alias("__mix_last")
     )
+    if rule.count() <= BROADCAST:  # a row per source; beyond it, the join is shuffled
+        rule = F.broadcast(rule)
     times = F.col("__mix_whole") + F.when(F.col("__mix_key") <= F.col("__mix_last"), 1).otherwise(0)
     return (
         docs.withColumn("__mix_key", random_key("doc_id", seed))
