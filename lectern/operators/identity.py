@@ -6,6 +6,9 @@ one Arrow function for both."""
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +78,49 @@ LADDERS = {
         ELSE 'NO_MATCH' END""",
 }
 
+# Each ladder's verdict needs an equal value of one of these, or the title similarity beside them: a
+# beginning or end is of 15 characters, the least that `trunc` takes (`prefix20` takes more).
+BLOCKS = {
+    "import": ((), policy.TITLE_MIN),
+    "enrichment": (("base", "head", "tail"), min(policy.MULTI_SIGNAL, policy.DUPLICATE)),
+    "doi_net": (("base",), None),
+    "survivor": (("base", "head", "tail"), min(policy.PREPRINT_TITLE, policy.DUPLICATE, 0.6)),
+}
+TILES = 8
+
+
+def _similar(records: DataFrame, least: float) -> DataFrame:
+    """(lid, rid) of records of one author whose titles have a similarity of `least`. None is lost: it
+    needs lengths within (2 - least) / least of each other, so that bands of that width are neighbours."""
+    width = math.log((2 - least) / least * 1.001)
+    band = F.floor(F.log(F.greatest(F.length("norm"), F.lit(1)).cast("double")) / width)
+    # an author is a skewed key: the left side is dealt into tiles, the right side goes to all of them
+    l = records.select("dir", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.pmod(F.xxhash64("id"), F.lit(TILES)).cast("int").alias("tile"), F.col("id").alias("lid"), F.col("norm").alias("l_norm"))
+    r = records.select("dir", band.alias("band"), F.explode(F.sequence(F.lit(0), F.lit(TILES - 1))).alias("tile"), F.col("id").alias("rid"), F.col("norm").alias("r_norm"))
+    la, lb = F.length("l_norm"), F.length("r_norm")
+    fits = (F.col("lid") < F.col("rid")) & ((2 * F.least(la, lb) >= least * (la + lb) - 1e-9) | (F.col("l_norm") == F.col("r_norm")))
+    key, tasks = ["dir", "band", "tile"], 64  # small in bytes, quadratic in work: not to be coalesced
+    near = l.repartition(tasks, *key).join(r.repartition(tasks, *key), key).where(fits)
+    return near.where(similarity.indel_ratio("l_norm", "r_norm") >= least).select("lid", "rid")
+
+
+def candidates(files: DataFrame, context: str) -> DataFrame:
+    """Pairs of records of one author, with the columns of v_pairs: all that a ladder can accept."""
+    norm, doi = text.normalize_title("title"), ids.norm_doi("doi")
+    records = files.select("id", "dir", norm.alias("norm"), ids.doi_base(doi).alias("base")).select(
+        "*", *[F.when(F.length("norm") >= 15, f("norm", F.lit(15))).alias(n) for n, f in (("head", F.left), ("tail", F.right))])
+    keys, least = BLOCKS[context]
+    found = [] if least is None else [_similar(records, least)]
+    for k in keys:
+        l, r = (records.select("dir", k, F.col("id").alias(i)) for i in ("lid", "rid"))
+        found.append(l.join(r, ["dir", k]).where("lid < rid").select("lid", "rid"))
+    pairs = reduce(DataFrame.unionByName, found)
+    if keys:
+        pairs = pairs.distinct()
+    venue = F.coalesce("journal", "booktitle", "howpublished")
+    side = lambda s: files.select(F.col("id").alias(f"{s}id"), *(["dir"] if s == "l" else []), *[F.col(c).alias(f"{s}{c}") for c in ("key", "title", "author", "year", "doi", "journal")], F.col("s2_id").alias(f"{s}s2"), venue.alias(f"{s}venue"))
+    return pairs.join(side("l"), "lid").join(side("r"), "rid")
+
 
 def features(pairs: DataFrame) -> DataFrame:
     """Features of pairs with lid, rid and l/r title, author, year, doi, journal, venue, key, s2."""

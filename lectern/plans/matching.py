@@ -65,7 +65,6 @@ def baseline_lookup(t: DataFrame) -> DataFrame:
     return identity.features(t).where("sim >= 0.95").groupBy("rid").agg(F.min("lid").alias("lid"))
 
 
-@query("dedup_list", "v_files", "v_pairs")
 def dedup_list(files: DataFrame, pairs: DataFrame) -> DataFrame:
     order = W.partitionBy("dir").orderBy(F.desc("year"), text.normalize_title("title"), "author", "id")
     records = files.select("id", F.row_number().over(order).alias("ordinal"))
@@ -73,6 +72,10 @@ def dedup_list(files: DataFrame, pairs: DataFrame) -> DataFrame:
     return cluster.greedy(records, matches)
 
 
+# not over v_pairs, which has pairs of one brand only
+query("dedup_list", "v_files")(lambda files: dedup_list(files, identity.candidates(files, "import")))
+
+
 @query("merge_lists", "v_files", "v_pairs", sql=f"""WITH {FEATURES}, s AS (SELECT lid, rid, {identity.LADDERS['import']} AS step FROM f)
 SELECT id, dir FROM v_files WHERE id % 3 <> 0 UNION ALL SELECT id, dir FROM v_files v WHERE id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM s WHERE starts_with(step, '+') AND (s.lid = v.id AND s.rid % 3 <> 0 OR s.rid = v.id AND s.lid % 3 <> 0))""")
 def merge_lists(files: DataFrame, pairs: DataFrame) -> DataFrame:
