@@ -3,7 +3,9 @@
 Canonical form. A text is cut into letter runs and numbers; numbers, names (capitalised inside a
 sentence) and units (after a number) become typed placeholders, all else is the lower-cased word. A
 window is `WINDOW` successive tokens of that form; only windows with at least `LITERALS` words that are
-no placeholders count. The plain lower-cased form is matched too, so that a copy in other case is found.
+no placeholders count. The plain lower-cased form is matched too, whatever its words are, so that a copy in
+other case and an item dense in numbers or names are found. Scripts without blanks (Chinese, Japanese, Thai
+and their like) give a token for each character.
 
 Join. Windows of all documents meet the windows of all benchmark items by hash. While the benchmark has
 at most `BROADCAST` windows (checked), a bitmap of its hashes goes to the scan, which passes only
@@ -12,10 +14,11 @@ windows that can match, and the items' windows are broadcast; beyond that, both
 Slots. Windows of one document and item at one shift make an alignment. Each placeholder pairs an item's
 value with a document's; a value of the item must go to one value of the document everywhere in the
 alignment (Ann -> Eve, 3 -> 7), else the alignment is dropped. Documents with an alignment over
-`ENOUGH` tokens, or over a whole shorter item, are contaminated: verbatim if no value changed, else
-re-parameterised.
+`ENOUGH` tokens (`ENOUGH_CHARACTERS` where most tokens of the item are single characters), or over a whole
+shorter item, are contaminated: verbatim if no value changed, else re-parameterised.
 
-Defined results: null and empty texts match nothing; items of under `SHORT` tokens are not searched for;
+Defined results: null and empty texts match nothing; items of under `SHORT` tokens are searched for in
+their plain form only; items without a letter or digit match nothing;
 a null item_id is an item like others; rows that repeat are matched each; an empty benchmark or an empty
 table matches nothing.
 """
@@ -36,6 +39,7 @@ WINDOW = 8
 SHORT = 5
 LITERALS = 5
 ENOUGH = 13
+ENOUGH_CHARACTERS = 39
 BROADCAST = 1_000_000
 BITS = 24
 
@@ -64,6 +68,12 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[ord(c) for c in ".!?\n:;\"()[]{}|"]] = True
 
+# First two bytes of the characters of scripts without blanks: Thai, Lao, Tibetan, Burmese, Khmer, kana and
+# ideographs with their punctuation, full-width forms.
+_SINGLE = np.zeros(1 << 16, dtype=bool)
+for _lo, _hi in ((0xE0B8, 0xE0BF), (0xE180, 0xE182), (0xE19E, 0xE19F), (0xE380, 0xE9BF), (0xEFA4, 0xEFAB), (0xEFBC, 0xEFBF), (0xF0A0, 0xF0BF)):
+    _SINGLE[_lo : _hi + 1] = True
+
 
 def _hash_words(words: list[str]) -> np.ndarray:
     data = np.frombuffer((" ".join(words) + " ").encode(), dtype=np.uint8)
@@ -81,13 +91,18 @@ def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == h
 
 
-def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, types, first token of each text) of texts packed end to end."""
+def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, types, first token of each text, whether a token is a character of a script without
+    blanks) of texts packed end to end."""
     kind = _CLASS[data]
     dot = (data == ord(".")) | (data == ord(","))
     joins = np.flatnonzero(dot[1:-1] & (kind[:-2] == _DIGIT) & (kind[2:] == _DIGIT)) + 1
     kind[joins] = _DIGIT
-    change = np.flatnonzero(np.diff(kind, prepend=0, append=0))
+    edge = np.diff(kind, prepend=0, append=0) != 0
+    lead = np.flatnonzero(data[:-1] >= 0xE0)
+    lead = lead[_SINGLE[data[lead].astype(np.int64) << 8 | data[lead + 1]]]
+    edge[lead] = edge[lead + np.where(data[lead] >= 0xF0, 4, 3)] = True
+    change = np.flatnonzero(edge)
     inside = np.append(kind, 0)[change] != 0
     starts, ends = change[inside], change[np.flatnonzero(inside) + 1]
     lower = _LOWER[data]
@@ -96,8 +111,9 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     words = hash_spans(lower, starts, ends)
     first = np.searchsorted(starts, offsets)
     types = np.zeros(len(starts), dtype=np.int8)
+    single_character = np.isin(starts, lead)
     if not len(starts):
-        return words, types, first
+        return words, types, first, single_character
     types[(kind[starts] == _DIGIT) | _among(words, _NUMBER_HASHES)] = NUMBER
     upper = lower != data
     stops = np.zeros(len(data) + 1, dtype=np.int64)
@@ -114,7 +130,7 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     after[1:] = types[:-1] == NUMBER
     after[first[first < len(starts)]] = False
     types[(types == 0) & after & _among(words, _UNIT_HASHES)] = UNIT
-    return words, types, first
+    return words, types, first, single_character
 
 
 def template_windows(
@@ -134,8 +150,9 @@ def template_windows(
     good = at + size <= first[owner + 1]
     literal = np.zeros(len(words) + 1, dtype=np.int64)
     np.cumsum(types == 0, out=literal[1:])
-    good &= literal[size:] - literal[:-size] >= min(LITERALS, size - 1)
-    if plain:  # what has no placeholder is in the template form already
+    if not plain:
+        good &= literal[size:] - literal[:-size] >= min(LITERALS, size - 1)
+    elif size >= SHORT:  # what has no placeholder is in the template form already
         good &= literal[size:] - literal[:-size] < size
     good = np.flatnonzero(good)
     return mix(h[good]), owner[good], good
@@ -153,10 +170,12 @@ def _scan(id_name: str, sizes: list[int], wanted, each_item: bool):
         for batch in batches:
             ids, keys = batch["id"].to_numpy(), batch["text_key"].to_numpy()
             for lo, _, data, offsets in packed(batch["text"].tolist()):
-                words, types, first = canonical(data, offsets)
+                words, types, first, single = canonical(data, offsets)
+                singles = np.append(0, np.cumsum(single))
+                singles = singles[first[1:]] - singles[first[:-1]]
                 values = np.where(types == 0, np.uint64(0), words | np.uint64(1)).view(np.int64)
                 for size in sizes:
-                    for plain in (False, True):
+                    for plain in (False, True) if size >= SHORT else (True,):
                         h, owner, at = template_windows(words, types, first, size, plain)
                         if known is not None:
                             hit = np.flatnonzero(bitmap[(h >> np.uint64(64 - BITS)).astype(np.int64)])
@@ -174,6 +193,7 @@ def _scan(id_name: str, sizes: list[int], wanted, each_item: bool):
                             })
                             if each_item:
                                 out["n_tokens"] = n_tokens
+                                out["enough"] = np.where(2 * singles[owner] > n_tokens, ENOUGH_CHARACTERS, ENOUGH)
                             yield out
 
     return run
@@ -192,16 +212,16 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     a row for each document text and item."""
     spark = docs.sparkSession
     small_batches(spark)
-    sizes = list(range(SHORT, WINDOW + 1))
+    sizes = list(range(1, WINDOW + 1))
     items = cut(
-        _keyed(benchmark, "item_id").mapInPandas(_scan("item_id", sizes, None, True), _SCHEMA + ", n_tokens long")
-    ).select("id", "text_key", "hash", "at", "size", "plain", "vals", "n_tokens")
-    found = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most 4 sizes
+        _keyed(benchmark, "item_id").mapInPandas(_scan("item_id", sizes, None, True), _SCHEMA + ", n_tokens long, enough long")
+    ).select("id", "text_key", "hash", "at", "size", "plain", "vals", "n_tokens", "enough")
+    found = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most WINDOW sizes
     few = items.select("hash").distinct().limit(BROADCAST + 1).count() <= BROADCAST
     wanted = None
     right = items.select(
         F.col("id").alias("item_id"), F.col("text_key").alias("item_key"), "hash", "size", "plain",
-        F.col("at").alias("item_at"), F.col("vals").alias("item_vals"), "n_tokens",
+        F.col("at").alias("item_at"), F.col("vals").alias("item_vals"), "n_tokens", "enough",
     )
     if few:
         rows = items.select("hash").distinct().toPandas()["hash"].to_numpy(dtype=np.int64)
@@ -213,6 +233,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("at")).alias("places"),
         F.max("size").alias("size"),
         F.max("n_tokens").alias("item_tokens"),
+        F.max("enough").alias("enough"),
         F.array_distinct(F.flatten(F.collect_list(F.arrays_zip(F.col("item_vals"), F.col("vals"))))).alias("slots"),
     )
     slots = F.filter("slots", lambda s: s["item_vals"] != 0)
@@ -230,7 +251,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 F.col("size").cast("long"), lambda s, v: s + v,
             ),
         )
-        .where(F.col("matched_tokens") >= F.least(F.lit(ENOUGH), F.col("item_tokens")))
+        .where(F.col("matched_tokens") >= F.least("enough", "item_tokens"))
     )
     return lined.groupBy("id", "text_key", "item_id").agg(
         F.max(F.struct("matched_tokens", (-F.col("changed_slots")).alias("kept"), "item_tokens")).alias("best")
