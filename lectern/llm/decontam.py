@@ -152,8 +152,6 @@ def template_windows(
     np.cumsum(types == 0, out=literal[1:])
     if not plain:
         good &= literal[size:] - literal[:-size] >= min(LITERALS, size - 1)
-    elif size >= SHORT:  # what has no placeholder is in the template form already
-        good &= literal[size:] - literal[:-size] < size
     good = np.flatnonzero(good)
     return mix(h[good]), owner[good], good
 

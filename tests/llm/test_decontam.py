@@ -24,3 +24,13 @@ def test_whole_items_of_any_kind(spark, item, tokens):
 def test_few_characters_in_common_are_no_copy(spark):
     item = "中国的首都是哪个城市请回答这个问题并且说明你的理由以及它的历史和地理位置还有人口数量与面积大小"
     assert found(spark, item, "他问中国的首都是哪个城市请回答这个然后走了") == []
+
+
+@pytest.mark.parametrize("item, tokens", [
+    ("Which river did Ann, Bob, Tom and Eve cross between Paris, Lyon, Nice and Metz?", 15),
+    ("Der alte Mann ging am Morgen mit seinem Hund durch den dunklen Wald zum Haus der Tante und brachte ihr Brot und Wein", 23),
+])
+def test_copies_in_other_case(spark, item, tokens):
+    for text in (item, item.lower(), item.upper()):
+        assert found(spark, item, f"Before. {text} After.") == [(1, "verbatim", tokens, tokens)]
+        assert found(spark, text, f"Before. {item} After.") == [(1, "verbatim", tokens, tokens)]
