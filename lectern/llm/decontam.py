@@ -1,7 +1,9 @@
 """Benchmark decontamination by template windows.
 
 Canonical form. A text is cut into letter runs and numbers; numbers, names (capitalised inside a
-sentence) and units (after a number) become typed placeholders, all else is the lower-cased word. A
+sentence) and units (after a number) become typed placeholders, all else is the lower-cased word. A run of
+names, or of a number and number words, with only blanks or hyphens between is one placeholder in a
+third form ("New York", "twenty-five", "3 million"), so that values may differ in their number of words. A
 window is `WINDOW` successive tokens of that form; only windows with at least `LITERALS` words that are
 no placeholders count. The plain lower-cased form is matched too, whatever its words are, so that a copy in
 other case and an item dense in numbers or names are found. Scripts without blanks (Chinese, Japanese, Thai
@@ -56,6 +58,7 @@ UNITS = (
 ).split()
 
 NUMBER, NAME, UNIT = 1, 2, 3
+TEMPLATE, PLAIN, COLLAPSED = 0, 1, 2
 _TYPE_HASH = np.array([0, 0xA11CE, 0xB0B, 0xC0FFEE], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 _LETTER, _DIGIT = 1, 2
@@ -65,6 +68,8 @@ _CLASS[128:] = _LETTER
 _CLASS[ord("0") : ord("9") + 1] = _DIGIT
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
+_JOINS = np.zeros(256, dtype=bool)
+_JOINS[[ord(c) for c in " \t\r\n-"]] = True
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[ord(c) for c in ".!?\n:;\"()[]{}|"]] = True
 
@@ -91,9 +96,9 @@ def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == h
 
 
-def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, types, first token of each text, whether a token is a character of a script without
-    blanks) of texts packed end to end."""
+    blanks, whether it continues the value of the token before) of texts packed end to end."""
     kind = _CLASS[data]
     dot = (data == ord(".")) | (data == ord(","))
     joins = np.flatnonzero(dot[1:-1] & (kind[:-2] == _DIGIT) & (kind[2:] == _DIGIT)) + 1
@@ -113,7 +118,7 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     types = np.zeros(len(starts), dtype=np.int8)
     single_character = np.isin(starts, lead)
     if not len(starts):
-        return words, types, first, single_character
+        return words, types, first, single_character, single_character
     types[(kind[starts] == _DIGIT) | _among(words, _NUMBER_HASHES)] = NUMBER
     upper = lower != data
     stops = np.zeros(len(data) + 1, dtype=np.int64)
@@ -130,7 +135,24 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     after[1:] = types[:-1] == NUMBER
     after[first[first < len(starts)]] = False
     types[(types == 0) & after & _among(words, _UNIT_HASHES)] = UNIT
-    return words, types, first, single_character
+    gaps = np.zeros(len(data) + 1, dtype=np.int64)
+    np.cumsum(~_JOINS[data], out=gaps[1:])
+    more = np.zeros(len(starts), dtype=bool)
+    more[1:] = (types[1:] == types[:-1]) & (gaps[starts[1:]] == gaps[ends[:-1]])
+    more &= (types == NAME) | ((types == NUMBER) & (kind[starts] == _LETTER))
+    more[first[first < len(starts)]] = False
+    return words, types, first, single_character, more
+
+
+def collapsed(words: np.ndarray, types: np.ndarray, first: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, types and first tokens with each value of several tokens as one, which has the hash of all."""
+    if not more.any():
+        return words, types, first
+    head = np.flatnonzero(~more)
+    place = np.arange(len(words)) - head[np.cumsum(~more) - 1]
+    sums = np.add.reduceat(mix(words + place.astype(np.uint64)), head)
+    size = np.diff(np.append(head, len(words)))
+    return np.where(size > 1, sums, words[head]), types[head], np.searchsorted(head, first)
 
 
 def template_windows(
@@ -168,13 +190,16 @@ def _scan(id_name: str, sizes: list[int], wanted, each_item: bool):
         for batch in batches:
             ids, keys = batch["id"].to_numpy(), batch["text_key"].to_numpy()
             for lo, _, data, offsets in packed(batch["text"].tolist()):
-                words, types, first, single = canonical(data, offsets)
+                words, types, first, single, more = canonical(data, offsets)
                 singles = np.append(0, np.cumsum(single))
                 singles = singles[first[1:]] - singles[first[:-1]]
-                values = np.where(types == 0, np.uint64(0), words | np.uint64(1)).view(np.int64)
-                for size in sizes:
-                    for plain in (False, True) if size >= SHORT else (True,):
-                        h, owner, at = template_windows(words, types, first, size, plain)
+                forms = {TEMPLATE: (words, types, first), PLAIN: (words, types, first), COLLAPSED: collapsed(words, types, first, more)}
+                for form, (words, types, first) in forms.items():
+                    values = np.where(types == 0, np.uint64(0), words | np.uint64(1)).view(np.int64)
+                    for size in sizes:
+                        if size < SHORT and form != PLAIN:
+                            continue
+                        h, owner, at = template_windows(words, types, first, size, form == PLAIN)
                         if known is not None:
                             hit = np.flatnonzero(bitmap[(h >> np.uint64(64 - BITS)).astype(np.int64)])
                             hit = hit[_among(h[hit], known)]
@@ -186,7 +211,7 @@ def _scan(id_name: str, sizes: list[int], wanted, each_item: bool):
                         if len(h):
                             out = pd.DataFrame({
                                 "id": ids[lo + owner], "text_key": keys[lo + owner], "hash": h.view(np.int64),
-                                "at": at - first[owner], "size": np.int32(size), "plain": plain,
+                                "at": at - first[owner], "size": np.int32(size), "form": np.int32(form),
                                 "vals": list(values[at[:, None] + np.arange(size)]),
                             })
                             if each_item:
@@ -197,7 +222,7 @@ def _scan(id_name: str, sizes: list[int], wanted, each_item: bool):
     return run
 
 
-_SCHEMA = "id string, text_key long, hash long, at long, size int, plain boolean, vals array<long>"
+_SCHEMA = "id string, text_key long, hash long, at long, size int, form int, vals array<long>"
 
 
 def _keyed(df: DataFrame, row_id: str) -> DataFrame:
@@ -213,21 +238,21 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = list(range(1, WINDOW + 1))
     items = cut(
         _keyed(benchmark, "item_id").mapInPandas(_scan("item_id", sizes, None, True), _SCHEMA + ", n_tokens long, enough long")
-    ).select("id", "text_key", "hash", "at", "size", "plain", "vals", "n_tokens", "enough")
+    ).select("id", "text_key", "hash", "at", "size", "form", "vals", "n_tokens", "enough")
     found = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most WINDOW sizes
     few = items.select("hash").distinct().limit(BROADCAST + 1).count() <= BROADCAST
     wanted = None
     right = items.select(
-        F.col("id").alias("item_id"), F.col("text_key").alias("item_key"), "hash", "size", "plain",
+        F.col("id").alias("item_id"), F.col("text_key").alias("item_key"), "hash", "size", "form",
         F.col("at").alias("item_at"), F.col("vals").alias("item_vals"), "n_tokens", "enough",
     )
     if few:
         rows = items.select("hash").distinct().toPandas()["hash"].to_numpy(dtype=np.int64)
         wanted = spark.sparkContext.broadcast(np.sort(rows.view(np.uint64)))  # BROADCAST hashes at most
     left = _keyed(docs, "doc_id").mapInPandas(_scan("doc_id", found, wanted, False), _SCHEMA)
-    joined = left.join(F.broadcast(right) if few else right, ["hash", "size", "plain"])
+    joined = left.join(F.broadcast(right) if few else right, ["hash", "size", "form"])
     # an alignment has at most as many windows as its item
-    lined = joined.groupBy("id", "text_key", "item_id", "item_key", "plain", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+    lined = joined.groupBy("id", "text_key", "item_id", "item_key", "form", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.array_sort(F.collect_set("at")).alias("places"),
         F.max("size").alias("size"),
         F.max("n_tokens").alias("item_tokens"),
@@ -236,7 +261,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     slots = F.filter("slots", lambda s: s["item_vals"] != 0)
     lined = (
-        lined.withColumn("slots", F.when(F.col("plain"), F.array().cast("array<struct<item_vals:bigint,vals:bigint>>")).otherwise(slots))
+        lined.withColumn("slots", F.when(F.col("form") == PLAIN, F.array().cast("array<struct<item_vals:bigint,vals:bigint>>")).otherwise(slots))
         .where(F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item_vals"]))))
         .withColumn("changed_slots", F.size(F.filter("slots", lambda s: s["item_vals"] != s["vals"])))
         .withColumn(

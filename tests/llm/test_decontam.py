@@ -34,3 +34,14 @@ def test_copies_in_other_case(spark, item, tokens):
     for text in (item, item.lower(), item.upper()):
         assert found(spark, item, f"Before. {text} After.") == [(1, "verbatim", tokens, tokens)]
         assert found(spark, text, f"Before. {item} After.") == [(1, "verbatim", tokens, tokens)]
+
+
+def test_values_of_other_token_counts(spark):
+    item = "Every morning Ann buys 3 kg of flour and 12 eggs before she walks to Paris along the old road"
+    copy = item.replace("Ann", "Mary Lou").replace("12", "twenty five").replace("Paris", "New York")
+    for text in (copy, copy.replace("twenty five", "twenty-five")):
+        assert found(spark, item, f"Before. {text} after.") == [(1, "reparameterised", 20, 20)]
+        assert found(spark, text, f"Before. {item} after.") == [(1, "reparameterised", 20, 20)]
+    twice = "Every morning Ann Lee buys flour and eggs before she walks with Ann Lee along the old road to the market"
+    assert found(spark, twice, twice.replace("Ann Lee", "Bo")) == [(1, "reparameterised", 19, 19)]
+    assert found(spark, twice, twice.replace("Ann Lee", "Lee Ann", 1).replace("Ann Lee", "Tom")) == []  # one value goes to two
