@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,11 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset
-    (local tests) a temporary folder is made and set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset and
+    all work runs in this process (local tests) a temporary folder is made and set; on a cluster that is an error."""
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lectern-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(base)
@@ -42,6 +47,12 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`df`, computed once, with a broadcast hint if it holds at most `rows` rows; beyond that, joins are shuffled."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Few rows in an Arrow batch: whole texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

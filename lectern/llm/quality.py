@@ -1,25 +1,32 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of characters, trained on trusted text.
 
-Characters fall into 64 symbols; a gram is `ORDER` of them packed into 24 bits, so that no language's
-tables can have more than 64**ORDER entries whatever the corpus holds. Trusted texts are those whose
-label says quality 1.
-
-1. Grams of all trusted texts are counted by language on the executors and summed; lower orders count the
-   distinct symbols to the left. Discounts come from counts of counts of each language and order.
-2. The distinct grams of the whole corpus meet these counts and their contexts' totals by joins that are
-   sharded by (model, gram), one pair for each order, which give every gram its log-probability.
-3. The log-probabilities are written by language into the shared folder. A scoring task loads a
-   language's table (a bounded array) when it meets the language, and sums over whole texts.
-4. A language's threshold is the `QUANTILE` of the perplexities of its trusted texts, from exact counts of
-   perplexities in steps of a thousandth of their logarithm; documents above it are not kept.
+A gram is `ORDER` code points, packed exactly (21 bits each) into two longs: no two characters of any script share
+a symbol, nothing is hashed, and every table grows with the corpus. Trusted texts are those whose label says
+quality 1; four fifths of them (by the text's crc32, so that copies stay together) train the model and the last
+fifth sets the thresholds.
+
+1. The documents are stored once, as blocks: a block is a file of that store. The ids of the trusted ones are
+   dealt to the blocks' side files, so that no text is shuffled.
+2. A task counts the distinct grams of its block; their rows (block, model, gram, n of training text) are stored.
+   Summed over blocks they give the training counts and the distinct grams of the corpus. Lower orders count the
+   distinct symbols to the left; discounts come from counts of counts of each model and order.
+3. From order 1 up, the distinct grams of the corpus meet their counts, their contexts' totals and the probability
+   of their suffix by joins on (model, gram): at most one row for each symbol meets the same key.
+4. The log-probabilities go back to the blocks that use them, in side files; a scoring task loads those of its
+   block alone and sums over whole texts.
+5. A model's threshold is the `QUANTILE` of the perplexities of its held-out trusted texts, from exact counts of
+   their logarithms in steps of a thousandth. Where these are under `LEAST_HELD`, the pooled threshold (of all
+   languages) stands if it is larger. Documents above it are not kept.
 
 Defined results: a null or empty text has no perplexity and is kept; a language without trusted text, or
 null, is scored by the model of all trusted text and its threshold; with no trusted text at all nothing
-has a perplexity and all is kept; null labels are not trusted; rows that repeat are scored each.
+has a perplexity and all is kept; with none held out, training texts set the thresholds; null labels are not
+trusted; rows that repeat are scored each, and are all trusted where one is.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,217 +37,288 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import fresh_dir, small_batches, stored
+from .common import bounded_broadcast, cut, fresh_dir, small_batches, stored
 from .files import opened
 
 ORDER = 4
-BITS = 6
+HALF = 3
+BITS = 21
+MASK = (1 << BITS) - 1
+START = MASK
+SYMBOLS = 0x110000
 QUANTILE = 0.995
+LEAST_HELD = 200
 POOLED = "*"
 STEP = 1000
-HELD_TABLES = 6
+MERGE_AT = 1_000_000
+KEY = ["model", "a", "b"]
 
-# Groups of characters that share a symbol; lower- and upper-case ASCII letters have their own.
-GROUPS = ("0123456789", " \t", "\n\r", ".", ",", "!?", "-_'\"", ":;()[]{}", "%$#&*@|<>/\\=+~^`", "áàâäãåæ", "éèêë", "íìîïóòôöõúùûü")
 
-
-def symbol_table() -> np.ndarray:
-    table = np.full(0x250, 63, dtype=np.int32)
-    for i in range(26):
-        table[ord("a") + i], table[ord("A") + i] = i, 26 + i
-    for s, group in enumerate(GROUPS[:10], 52):
-        table[[ord(c) for c in group]] = s
-    for group, s in ((GROUPS[10], 62), (GROUPS[11], 60)):
-        table[[ord(c) for c in group]] = s
-    for c in "çñß":
-        table[ord(c)] = 63
-    return table
-
-
-_SYMBOLS = symbol_table()
-SPACE = int(_SYMBOLS[ord(" ")])
-
-
-def codes(text: str | None) -> np.ndarray:
-    """The packed gram that ends at each character; a text starts after blanks."""
+def packed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The gram that ends at each character as (first symbols, last three symbols); a text starts after `START`s."""
     points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    s = np.full(len(points) + ORDER - 1, SPACE, dtype=np.int32)
-    s[ORDER - 1 :] = _SYMBOLS[np.minimum(points, len(_SYMBOLS) - 1)]
-    out = np.zeros(len(points), dtype=np.int32)
+    s = np.full(len(points) + ORDER - 1, START, dtype=np.int64)
+    s[ORDER - 1 :] = points
+    a, b = np.zeros(len(points), dtype=np.int64), np.zeros(len(points), dtype=np.int64)
     for k in range(ORDER):
-        out = (out << BITS) | s[k : k + len(points)]
+        part = a if k < ORDER - HALF else b
+        part <<= BITS
+        part |= s[k : k + len(points)]
+    return a, b
+
+
+def _mixed(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    h = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * seed)
+    h ^= h >> np.uint64(29)
+    h += b.astype(np.uint64)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _distinct(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (a, b) with their summed n. Pairs are sorted by a mix of both; should two pairs ever share a mix,
+    another seed is taken."""
+    if not len(a):
+        return a, b, n
+    for seed in range(1_000):
+        h = _mixed(a, b, seed)
+        order = np.argsort(h)
+        h, x, y = h[order], a[order], b[order]
+        first = np.r_[True, h[1:] != h[:-1]]
+        if not (~first[1:] & ((x[1:] != x[:-1]) | (y[1:] != y[:-1]))).any():
+            at = np.flatnonzero(first)
+            return x[at], y[at], np.add.reduceat(n[order], at)
+    raise RuntimeError("no seed keeps the grams apart")
+
+
+def _side_file(folder: str, block: int):
+    """The tables of one block's side file; none where the block has none."""
+    where, plain = opened(f"{folder}/block={block}")
+    for info in where.get_file_info(arrow_fs.FileSelector(plain, allow_not_found=True)):
+        if info.path.endswith(".parquet"):
+            with where.open_input_file(info.path) as f:
+                yield pq.read_table(f)
+
+
+def _roles(batch: pd.DataFrame, ids: np.ndarray) -> np.ndarray:
+    """0: not trusted, 1: trains the model, 2: held out for the threshold."""
+    trusted = batch["id"].isin(ids).to_numpy() & ~batch["no_id"].to_numpy()
+    out = np.zeros(len(batch), dtype=np.int32)
+    for i in np.flatnonzero(trusted):
+        out[i] = 1 if zlib.crc32((batch["text"].iat[i] or "").encode("utf-8", "surrogatepass")) % 5 else 2
     return out
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(lang, gram, n) of all rows of a task; counts are kept merged, so memory follows the distinct grams."""
-    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+def _blocks(batches: Iterator[pd.DataFrame], folder: str) -> Iterator[tuple[int, pd.DataFrame, np.ndarray]]:
+    held, ids = None, None
+    for batch in batches:
+        for block, rows in batch.groupby("block", sort=True):
+            if block != held:
+                found = [t["doc_id"].to_numpy() for t in _side_file(folder, block)]
+                held, ids = block, np.concatenate(found) if found else np.empty(0, dtype=np.int64)
+            yield int(block), rows, _roles(rows, ids)
 
-    def merge(parts: list) -> tuple[np.ndarray, np.ndarray]:
-        grams, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
-        return grams, np.bincount(at, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
 
-    for batch in batches:
-        for lang, texts in batch.groupby("lang", sort=True)["text"]:
-            found = np.unique(np.concatenate([codes(t) for t in texts]), return_counts=True)
-            parts = held.setdefault(lang, [])
-            parts.append(found)
-            if sum(len(g) for g, _ in parts) > 2_000_000:
-                held[lang] = [merge(parts)]
-    for lang, parts in held.items():
-        grams, n = merge(parts)
-        for lo in range(0, len(grams), 100_000):
-            yield pd.DataFrame({"lang": lang, "gram": grams[lo : lo + 100_000], "n": n[lo : lo + 100_000]})
+def _count(trusted: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[int, str], list] = {}
+
+        def merged(parts: list) -> tuple:
+            return _distinct(*(np.concatenate(x) for x in zip(*parts)))
+
+        for block, rows, roles in _blocks(batches, trusted):
+            for model, at in rows.groupby("model", sort=True).indices.items():
+                fresh = []
+                for i in at:
+                    a, b = packed(rows["text"].iat[i])
+                    fresh.append((a, b, np.full(len(a), int(roles[i] == 1), dtype=np.int64)))
+                parts = held.setdefault((block, model), [])
+                parts.append(merged(fresh))
+                if sum(len(a) for a, _, _ in parts) > MERGE_AT + 2 * len(parts[0][0]):
+                    held[block, model] = [merged(parts)]
+        for (block, model), parts in held.items():
+            a, b, n = merged(parts)
+            for lo in range(0, len(a), 100_000):
+                to = slice(lo, lo + 100_000)
+                yield pd.DataFrame({"block": block, "model": model, "a": a[to], "b": b[to], "n": n[to]})
 
+    return run
 
-def _lang() -> Column:
-    return F.coalesce("lang", F.lit(POOLED))
 
+def _suffix(order: int) -> list[Column]:
+    """Columns a, b of the last `order` symbols."""
+    if order <= HALF:
+        return [F.lit(0).cast("long").alias("a"), F.col("b").bitwiseAND(F.lit((1 << BITS * order) - 1)).alias("b")]
+    return [F.col("a").bitwiseAND(F.lit((1 << BITS * (order - HALF)) - 1)).alias("a"), F.col("b")]
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    return (
-        texts.select(_lang().alias("lang"), "text").mapInPandas(_count, "lang string, gram int, n long")
-        .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    )
+
+def _context() -> list[Column]:
+    """Columns a, b of the gram without its last symbol."""
+    low = F.shiftleft(F.col("a").bitwiseAND(F.lit(MASK)), BITS * (HALF - 1))
+    return [F.shiftright("a", BITS).alias("a"), F.shiftright("b", BITS).bitwiseOR(low).alias("b")]
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
-    """(lang, d1, d2, d3) from counts of counts; where these are too few, 0.5, 1 and 1.5."""
+    """(model, d1, d2, d3) from counts of counts; where these are too few, 0.5, 1 and 1.5."""
     n = [F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+
     def d(k: int, plain: float) -> Column:
         raw = k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")
-        return F.when((F.col("n1") > 0) & (F.col("n2") > 0) & (F.col(f"n{k}") > 0), F.greatest(F.lit(0.0), F.least(F.lit(float(k)), raw))).otherwise(plain)
-    return counts.groupBy("lang").agg(*n).select("lang", d(1, 0.5).alias("d1"), d(2, 1.0).alias("d2"), d(3, 1.5).alias("d3"))
+        enough = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col(f"n{k}") > 0)
+        return F.when(enough, F.greatest(F.lit(0.0), F.least(F.lit(float(k)), raw))).otherwise(plain)
+
+    return counts.groupBy("model").agg(*n).select("model", d(1, 0.5).alias("d1"), d(2, 1.0).alias("d2"), d(3, 1.5).alias("d3"))
 
 
 def _order_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lang, gram, share) and (lang, context, rest): the discounted share of a gram in its context, and what
-    the context leaves to the next lower order."""
+    """(model, a, b, share) and, by context, (model, a, b, rest): the discounted share of a gram in its context, and
+    what the context leaves to the next lower order."""
     k = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    cut = counts.join(_discounts(counts), "lang").withColumn("d", k).withColumn("context", F.shiftright("gram", BITS))
-    contexts = cut.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("freed"))
-    shares = cut.join(contexts, ["lang", "context"]).select(
-        "lang", "gram", (F.greatest(F.lit(0.0), F.col("n") - F.col("d")) / F.col("total")).alias("share")
+    less = counts.join(bounded_broadcast(_discounts(counts)), "model").select(*KEY, "n", k.alias("d"))
+    contexts = (
+        less.select("model", *_context(), "n", "d").groupBy(*KEY)
+        .agg(F.sum("n").alias("total"), F.sum("d").alias("freed"))
     )
-    return shares, contexts.select("lang", "context", (F.col("freed") / F.col("total")).alias("rest"))
-
-
-def log_probabilities(trusted: DataFrame, grams: DataFrame) -> DataFrame:
-    """(lang, gram, logp) for every row of `grams` (lang, gram) whose lang is in `trusted` (lang, gram, n)."""
-    counts, out = trusted, grams.join(trusted.select("lang").distinct(), "lang", "left_semi")
-    for order in range(ORDER, 0, -1):
-        # stored at each order: the plan stays small however many orders there are
-        counts = stored(counts, "counts")
-        shares, contexts = (stored(t, "shares").hint("merge") for t in _order_tables(counts))
-        mask = (1 << BITS * order) - 1
-        out = (
-            out.withColumn("g", F.col("gram").bitwiseAND(F.lit(mask)))
-            .withColumn("c", F.shiftright("g", BITS))
-            .join(shares.select(F.col("lang"), F.col("gram").alias("g"), F.col("share").alias(f"s{order}")), ["lang", "g"], "left")
-            .join(contexts.select(F.col("lang"), F.col("context").alias("c"), F.col("rest").alias(f"r{order}")), ["lang", "c"], "left")
-            .drop("g", "c")
-        )
-        out = stored(out, "joined")
-        counts = counts.groupBy("lang", F.col("gram").bitwiseAND(F.lit(mask >> BITS)).alias("gram")).agg(F.count("*").alias("n"))
-    p: Column = F.lit(1.0 / (1 << BITS))
+    return less, contexts
+
+
+def log_probabilities(trusted: DataFrame, seen: DataFrame) -> DataFrame:
+    """(model, a, b, logp) for every row of `seen` (model, a, b; distinct) whose model is in `trusted`
+    (model, a, b, n; distinct, n > 0)."""
+    counts, tables = {ORDER: trusted}, {}
+    for order in range(ORDER - 1, 0, -1):
+        longer = counts[order + 1]
+        counts[order] = stored(longer.select("model", *_suffix(order)).groupBy(*KEY).agg(F.count("*").alias("n")), "counts")
+    models = bounded_broadcast(trusted.select("model").distinct())
+    seen = seen.join(models, "model", "left_semi")
+    p = None
     for order in range(1, ORDER + 1):
-        p = F.coalesce(f"s{order}", F.lit(0.0)) + F.coalesce(f"r{order}", F.lit(1.0)) * p
-    return out.select("lang", "gram", F.log(p).alias("logp"))
-
-
-class Tables:
-    """A language's log-probabilities as an array over all grams, loaded when asked for."""
-
-    def __init__(self, folder: str):
-        self.folder, self.held = folder, {}
-
-    def get(self, lang: str) -> np.ndarray | None:
-        if lang not in self.held:
-            if len(self.held) >= HELD_TABLES:
-                self.held.pop(next(iter(self.held)))
-            self.held[lang] = self._load(lang)
-        found = self.held[lang]
-        return self.get(POOLED) if found is None and lang != POOLED else found
-
-    def _load(self, lang: str) -> np.ndarray | None:
-        where, plain = opened(f"{self.folder}/shard={lang.encode().hex() or '_'}")
-        files = where.get_file_info(arrow_fs.FileSelector(plain, allow_not_found=True))
-        table = None
-        for info in files:
-            if info.path.endswith(".parquet"):
-                with where.open_input_file(info.path) as f:
-                    part = pq.read_table(f, columns=["gram", "logp"])
-                if table is None:
-                    table = np.full(1 << BITS * ORDER, np.nan, dtype=np.float16)
-                table[part["gram"].to_numpy()] = part["logp"].to_numpy()
-        return table
-
-
-def _score(folder: str):
+        less, contexts = _order_tables(counts[order])
+        here = seen.select("model", *_suffix(order))
+        here = here.distinct() if order < ORDER else here
+        keyed = here.join(less, KEY, "left").select(*KEY, F.coalesce(F.greatest(F.lit(0.0), F.col("n") - F.col("d")), F.lit(0.0)).alias("over"))
+        names = [c.alias(f"c{i}") for i, c in enumerate(_context())]
+        if order == 1:  # one context for each model
+            whole = bounded_broadcast(contexts.drop("a", "b"))
+            out = keyed.join(whole, "model", "left").withColumn("lower", F.lit(1.0 / SYMBOLS))
+        else:
+            by_context = contexts.select("model", F.col("a").alias("c0"), F.col("b").alias("c1"), "total", "freed")
+            out = keyed.select("*", *names).join(by_context, ["model", "c0", "c1"], "left").drop("c0", "c1")
+            tail = [c.alias(f"t{i}") for i, c in enumerate(_suffix(order - 1))]
+            shorter = p.select("model", F.col("a").alias("t0"), F.col("b").alias("t1"), F.col("p").alias("lower"))
+            out = out.select("*", *tail).join(shorter, ["model", "t0", "t1"])
+        value = F.coalesce((F.col("over") + F.col("freed") * F.col("lower")) / F.col("total"), F.col("lower"))
+        p = stored(out.select(*KEY, value.alias("p")), "probabilities")
+    return p.select(*KEY, F.log("p").alias("logp"))
+
+
+class Table:
+    """Log-probabilities of one model in one block. Distinct grams have distinct mixes under the seed kept, and every
+    gram of the block is in its table, so what is looked up is exact."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, logp: np.ndarray):
+        for self.seed in range(1_000):
+            h = _mixed(a, b, self.seed)
+            order = np.argsort(h)
+            self.keys = h[order]
+            if (self.keys[1:] != self.keys[:-1]).all():
+                self.logp = logp[order]
+                return
+        raise RuntimeError("no seed keeps the grams apart")
+
+    def entropy(self, text: str | None) -> float:
+        a, b = packed(text)
+        if not len(a):
+            return np.nan
+        h = _mixed(a, b, self.seed)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        if (self.keys[at] != h).any():
+            raise RuntimeError("a gram of the block has no probability")
+        return -float(self.logp[at].sum()) / len(a)
+
+
+def _tables(folder: str, block: int) -> dict[str, Table]:
+    parts: dict[str, list] = {}
+    for t in _side_file(folder, block):
+        frame = t.to_pandas()
+        for model, rows in frame.groupby("model", sort=True):
+            parts.setdefault(model, []).append(rows)
+    return {
+        model: Table(*(np.concatenate([x[c].to_numpy() for x in found]) for c in ("a", "b", "logp")))
+        for model, found in parts.items()
+    }
+
+
+def _score(trusted: str, folder: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = Tables(folder)
-        for batch in batches:
-            out = np.full(len(batch), np.nan)
-            for lang, at in batch.groupby("lang", sort=True).indices.items():
-                table = tables.get(lang)
-                for i in at if table is not None else ():
-                    found = codes(batch["text"].iat[i])
-                    if len(found):
-                        out[i] = -table[found].sum(dtype=np.float64) / len(found)
-            yield pd.DataFrame({"doc_id": batch["id"], "lang": batch["lang"], "trusted": batch["trusted"], "entropy": out})
+        held, tables = None, {}
+        for block, rows, roles in _blocks(batches, trusted):
+            if block != held:
+                held, tables = block, _tables(folder, block)
+            out = np.full(len(rows), np.nan)
+            for i, (model, text) in enumerate(zip(rows["model"], rows["text"])):
+                if model in tables:
+                    out[i] = tables[model].entropy(text)
+            yield rows[["id", "no_id", "lang", "model"]].assign(role=roles, entropy=out)
 
     return run
 
 
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, lang, trusted, log_perplexity) of every row of `docs`."""
+    """(doc_id, lang, model, role, log_perplexity) of every row of `docs`; role 1: trained on, 2: held out, else 0."""
     spark = docs.sparkSession
     small_batches(spark)
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    trusted = stored(gram_counts(docs.select("doc_id", "lang", "text").join(good, "doc_id", "left_semi")), "counts")
-    known = trusted.select("lang").distinct()
-    pooled = trusted.groupBy(F.lit(POOLED).alias("lang"), "gram").agg(F.sum("n").alias("n"))
-    models = trusted.where(F.col("lang") != POOLED).unionByName(pooled)
-    seen = gram_counts(docs.select("lang", "text")).select("lang", "gram")
-    grams = (
-        seen.join(known.where(F.col("lang") != POOLED).withColumn("own", F.lit(True)), "lang", "left")
-        .select(F.when(F.col("own"), F.col("lang")).otherwise(POOLED).alias("lang"), "gram").distinct()
+    store, trusted, scores = (fresh_dir(spark, kind) for kind in ("blocks", "trusted", "model"))
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").write.option("compression", "zstd").parquet(store)
+    block = F.regexp_extract(F.input_file_name(), r"part-(\d+)-[^/]*$", 1).cast("int").alias("block")
+    blocks = spark.read.schema("doc_id long, lang string, text string").parquet(store)
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    known = cut(blocks.select("doc_id", "lang", block).join(good, "doc_id", "left_semi"))
+    known.select("doc_id", "block").distinct().repartition("block").write.partitionBy("block").parquet(trusted)
+    own = bounded_broadcast(known.where("lang is not null").select("lang").distinct().withColumn("model", F.col("lang")))
+    rows = blocks.select("doc_id", "lang", "text", block).join(own, "lang", "left").select(
+        F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNull().alias("no_id"),  # no floats in pandas
+        "lang", "text", "block", F.coalesce("model", F.lit(POOLED)).alias("model"),
     )
-    folder = fresh_dir(spark, "model")
-    shard = F.when(F.col("lang") == "", "_").otherwise(F.lower(F.hex(F.encode("lang", "UTF-8"))))
-    (
-        log_probabilities(models, grams).withColumn("shard", shard).drop("lang")
-        .repartition("shard").write.partitionBy("shard").parquet(folder)
+    uses = stored(rows.mapInPandas(_count(trusted), "block int, model string, a long, b long, n long"), "grams")
+    total = stored(uses.groupBy(*KEY).agg(F.sum("n").alias("n")), "totals")
+    fit = total.where("n > 0")
+    pooled = fit.groupBy(F.lit(POOLED).alias("model"), "a", "b").agg(F.sum("n").alias("n"))
+    models = stored(fit.where(F.col("model") != POOLED).unionByName(pooled), "models")
+    logp = log_probabilities(models, total.select(*KEY))
+    uses.select("block", *KEY).join(logp, KEY).repartition("block").write.option("compression", "zstd").partitionBy("block").parquet(scores)
+    return rows.mapInPandas(_score(trusted, scores), "id long, no_id boolean, lang string, model string, role int, entropy double").select(
+        F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "lang", "model", "role", F.when(~F.isnan("entropy"), F.col("entropy")).alias("log_perplexity")
     )
-    marked = docs.select(F.col("doc_id"), _lang().alias("lang"), "text").join(
-        good.withColumn("trusted", F.lit(True)), "doc_id", "left"
-    )
-    rows = marked.select(F.col("doc_id").cast("string").alias("id"), "lang", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    return rows.mapInPandas(_score(folder), "doc_id string, lang string, trusted boolean, entropy double").select(
-        F.col("doc_id").cast("long").alias("doc_id"), "lang", "trusted",
-        F.when(~F.isnan("entropy"), F.col("entropy")).alias("log_perplexity"),
+
+
+def _limits(scored: DataFrame, quantile: float) -> DataFrame:
+    """(model, limit, n) of each model and of all, from the scores of the trusted rows given."""
+    steps = scored.where("log_perplexity is not null").select("model", F.ceil(F.col("log_perplexity") * STEP).alias("step"))
+    steps = steps.where(F.col("model") != POOLED).unionByName(steps.withColumn("model", F.lit(POOLED)))
+    counts = steps.groupBy("model", "step").agg(F.count("*").alias("n"))
+    upto = W.partitionBy("model").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
+    return (
+        counts.withColumn("run", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(W.partitionBy("model")))
+        .where(F.col("run") >= F.col("all") * quantile)
+        .groupBy("model").agg((F.min("step") / STEP).alias("limit"), F.max("all").alias("n"))
     )
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, kept) of every row of `docs`."""
     scored = stored(perplexities(docs, labels), "scores")
-    trusted = scored.where("trusted and log_perplexity is not null")
-    steps = trusted.select("lang", F.ceil(F.col("log_perplexity") * STEP).alias("step"))
-    steps = steps.where(F.col("lang") != POOLED).unionByName(steps.withColumn("lang", F.lit(POOLED)))
-    counts = steps.groupBy("lang", "step").agg(F.count("*").alias("n"))
-    upto = W.partitionBy("lang").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
-    limits = (
-        counts.withColumn("run", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(W.partitionBy("lang")))
-        .where(F.col("run") >= F.col("all") * quantile)
-        .groupBy("lang").agg((F.min("step") / STEP).alias("limit"))
+    held, fit = (_limits(scored.where(F.col("role") == k), quantile) for k in (2, 1))
+    both = held.select("model", F.col("limit").alias("held"), F.col("n").alias("n")).join(
+        fit.select("model", F.col("limit").alias("fit")), "model", "full"
+    )
+    both = cut(both.select("model", F.coalesce("held", "fit").alias("own"), F.coalesce("n", F.lit(0)).alias("n")))
+    pooled = both.where(F.col("model") == POOLED).select(F.col("own").alias("pooled"))
+    limits = both.join(F.broadcast(pooled), how="left").select(  # one row
+        "model", F.when(F.col("n") < LEAST_HELD, F.greatest("own", "pooled")).otherwise(F.col("own")).alias("limit")
     )
-    pooled = limits.where(F.col("lang") == POOLED).select(F.col("limit").alias("pooled"))
-    joined = scored.join(limits, "lang", "left").join(F.broadcast(pooled), how="left")  # one row
-    limit = F.coalesce("limit", "pooled")
-    return joined.select(
-        "doc_id", F.nullif("lang", F.lit(POOLED)).alias("lang"),
-        F.exp("log_perplexity").alias("perplexity"), F.exp(limit).alias("threshold"),
-        F.coalesce(F.col("log_perplexity") <= limit, F.lit(True)).alias("kept"),
+    return scored.join(bounded_broadcast(limits), "model", "left").select(
+        "doc_id", "lang", F.exp("log_perplexity").alias("perplexity"), F.exp("limit").alias("threshold"),
+        F.coalesce(F.col("log_perplexity") <= F.col("limit"), F.lit(True)).alias("kept"),
     )
