@@ -29,13 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_dir
+from .common import cut, fresh_dir, stored
 from .files import new_output, read_range
 
 GZIP = b"\x1f\x8b\x08"
 BLOCK = 1 << 18
 SALTS = 16
 DATE = "2020-01-01T00:00:00Z"
+MOST_TASKS = 50_000
 
 
 def digest32(payload: bytes) -> str:
@@ -137,14 +138,16 @@ def _starts_record(data: bytes) -> bool | None:
     z = zlib.decompressobj(31)
     try:
         head = z.decompress(data, 1 << 16)
+        if b"WARC/1."[: len(head)] != head[:7]:
+            return False
+        while b"\r\n\r\n" not in head and not z.eof and (more := z.decompress(z.unconsumed_tail, len(head))):
+            head += more  # a header has no greatest length
     except zlib.error:
         return False
-    if b"WARC/1."[: len(head)] != head[:7]:
-        return False
     if b"\r\n\r\n" in head:
         fields = head[: head.index(b"\r\n\r\n")]
         return b"WARC-Type:" in fields and b"Content-Length:" in fields
-    return False if z.eof or len(head) >= 1 << 16 else None
+    return False if z.eof else None
 
 
 def members(f, start: int, end: int) -> Iterator[bytes]:
@@ -220,7 +223,9 @@ def read_warc(files: DataFrame, split: int = 4 << 20, with_payload: bool = False
                 yield _frame(rows, with_payload)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return ranges.repartition("path", "start").mapInPandas(read, schema + ", payload binary" * with_payload)
+    # a number of partitions that is given is not coalesced: a task for each range, or for a run of ranges beyond MOST_TASKS
+    tasks = files.where("length > 0").agg(F.sum(F.ceil(F.col("length") / split))).first()[0] or 1
+    return ranges.repartitionByRange(min(int(tasks), MOST_TASKS), "path", "start").mapInPandas(read, schema + ", payload binary" * with_payload)
 
 
 def _row(data: bytes, with_payload: bool) -> tuple:
@@ -244,5 +249,10 @@ def _frame(rows: list[tuple], with_payload: bool) -> pd.DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
+    """Every record read back; fails if their number is not the manifest's."""
     manifest = write_warc(pages, fresh_dir(pages.sparkSession, "warc"))
-    return read_warc(manifest)
+    read = stored(read_warc(manifest), "records")
+    wrote = manifest.agg(F.coalesce(F.sum("n_records"), F.lit(0))).first()[0]
+    if (found := read.count()) != wrote:
+        raise ValueError(f"{wrote} records were written, {found} read back")
+    return read
