@@ -144,14 +144,6 @@ def test_quality(docs, labels, nothing):
     assert quality.classify(docs, labels.where("quality = 5")).where("not kept or perplexity is not null").count() == 0
 
 
-def test_kneser_ney_sums_to_one(spark):
-    trusted = quality.gram_counts(spark.createDataFrame([("en", "the cat sat on the mat, the end"), ("en", "a cat")], "lang string, text string"))
-    context = int(quality.codes("the")[-1]) & 0x3FFFF
-    grams = spark.createDataFrame([("en", (context << 6) | s) for s in range(64)], "lang string, gram int")
-    total = sum(np.exp(r.logp) for r in quality.log_probabilities(trusted, grams).collect())
-    assert total == pytest.approx(1.0, abs=1e-9)
-
-
 def test_decontamination(spark, docs, nothing):
     item = "Yesterday Ann bought 3 kg of apples and 12 pears at the market near Paris for Ann and her friends."
     bench = spark.createDataFrame([(1, item), (2, "short"), (None, None)], "item_id long, text string")
