@@ -3,19 +3,20 @@
 Canonical form. A text is cut into letter runs and numbers; numbers, names (capitalised inside a
 sentence) and units (after a number) become typed placeholders, all else is the lower-cased word. A run of
 names, or of a number and number words, with only blanks or hyphens between is one placeholder in a
-third form ("New York", "twenty-five", "3 million"), so that values may differ in their number of words. A
+third form ("New York", "twenty-five", "3 million"), so that values may differ in their number of words. In a
+fourth form the capitalised words that open sentences are names too ("Tom bought ..." against "Eve bought ..."). A
 window is `WINDOW` successive tokens of that form; only windows with at least `LITERALS` words that are
 no placeholders count. The plain lower-cased form is matched too, whatever its words are, so that a copy in
 other case and an item dense in numbers or names are found. Scripts without blanks (Chinese, Japanese, Thai
 and their like) give a token for each character.
 
 Join. Windows of all documents meet the windows of all benchmark items by hash. While the benchmark has
-at most `BROADCAST` windows (checked), a bitmap of its hashes goes to the scan, which passes only
-windows that can match, and the items' windows are broadcast; beyond that, both sides are shuffled.
+at most `BROADCAST` distinct hashes (checked), they go to the scan, which passes only windows that match; while
+its windows are at most `BROADCAST_ROWS` rows (checked), they are broadcast. Beyond that, sides are shuffled.
 
 Slots. Windows of one document and item at one shift make an alignment. Each placeholder pairs an item's
 value with a document's; a value of the item must go to one value of the document everywhere in the
-alignment (Ann -> Eve, 3 -> 7), else the alignment is dropped. Documents with an alignment over
+alignment (Ann -> Eve, 3 -> 7; two values may go to one, as 3 and 5 to 7), else the alignment is dropped. Documents with an alignment over
 `ENOUGH` tokens (`ENOUGH_CHARACTERS` where most tokens of the item are single characters), or over a whole
 shorter item, are contaminated: verbatim if no value changed, else re-parameterised.
 
@@ -43,6 +44,7 @@ LITERALS = 5
 ENOUGH = 13
 ENOUGH_CHARACTERS = 39
 BROADCAST = 1_000_000
+BROADCAST_ROWS = 200_000
 BITS = 24
 
 # Words that count as numbers, and units.
@@ -58,7 +60,7 @@ UNITS = (
 ).split()
 
 NUMBER, NAME, UNIT = 1, 2, 3
-TEMPLATE, PLAIN, COLLAPSED = 0, 1, 2
+TEMPLATE, PLAIN, COLLAPSED, OPENED = 0, 1, 2, 3
 _TYPE_HASH = np.array([0, 0xA11CE, 0xB0B, 0xC0FFEE], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 _LETTER, _DIGIT = 1, 2
@@ -96,9 +98,10 @@ def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == h
 
 
-def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(word hashes, types, first token of each text, whether a token is a character of a script without
-    blanks, whether it continues the value of the token before) of texts packed end to end."""
+    blanks, whether it continues the value of the token before; types and continuation once more with the
+    capitalised words that open sentences as names) of texts packed end to end."""
     kind = _CLASS[data]
     dot = (data == ord(".")) | (data == ord(","))
     joins = np.flatnonzero(dot[1:-1] & (kind[:-2] == _DIGIT) & (kind[2:] == _DIGIT)) + 1
@@ -118,7 +121,7 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     types = np.zeros(len(starts), dtype=np.int8)
     single_character = np.isin(starts, lead)
     if not len(starts):
-        return words, types, first, single_character, single_character
+        return words, types, first, single_character, single_character, types, single_character
     types[(kind[starts] == _DIGIT) | _among(words, _NUMBER_HASHES)] = NUMBER
     upper = lower != data
     stops = np.zeros(len(data) + 1, dtype=np.int64)
@@ -130,18 +133,24 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     np.cumsum(upper, out=caps[1:])
     second = upper[starts] | upper[np.minimum(starts + 1, len(data) - 1)]
     single = (caps[ends] - caps[starts] == 1) & second & (ends - starts > 1)
-    types[(types == 0) & single & ~opens & (kind[starts] == _LETTER)] = NAME
+    capital = (types == 0) & single & (kind[starts] == _LETTER)
+    types[capital & ~opens] = NAME
     after = np.zeros(len(starts), dtype=bool)
     after[1:] = types[:-1] == NUMBER
     after[first[first < len(starts)]] = False
     types[(types == 0) & after & _among(words, _UNIT_HASHES)] = UNIT
     gaps = np.zeros(len(data) + 1, dtype=np.int64)
     np.cumsum(~_JOINS[data], out=gaps[1:])
-    more = np.zeros(len(starts), dtype=bool)
-    more[1:] = (types[1:] == types[:-1]) & (gaps[starts[1:]] == gaps[ends[:-1]])
-    more &= (types == NAME) | ((types == NUMBER) & (kind[starts] == _LETTER))
-    more[first[first < len(starts)]] = False
-    return words, types, first, single_character, more
+    beside = np.zeros(len(starts), dtype=bool)
+    beside[1:] = gaps[starts[1:]] == gaps[ends[:-1]]
+    beside[first[first < len(starts)]] = False
+
+    def continues(types: np.ndarray) -> np.ndarray:
+        same = np.append(False, types[1:] == types[:-1])
+        return beside & same & ((types == NAME) | ((types == NUMBER) & (kind[starts] == _LETTER)))
+
+    opened = np.where(capital & opens, NAME, types).astype(np.int8)
+    return words, types, first, single_character, continues(types), opened, continues(opened)
 
 
 def collapsed(words: np.ndarray, types: np.ndarray, first: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,10 +199,13 @@ def _scan(id_name: str, sizes: list[int], wanted, each_item: bool):
         for batch in batches:
             ids, keys = batch["id"].to_numpy(), batch["text_key"].to_numpy()
             for lo, _, data, offsets in packed(batch["text"].tolist()):
-                words, types, first, single, more = canonical(data, offsets)
+                words, types, first, single, more, opened, more_opened = canonical(data, offsets)
                 singles = np.append(0, np.cumsum(single))
                 singles = singles[first[1:]] - singles[first[:-1]]
-                forms = {TEMPLATE: (words, types, first), PLAIN: (words, types, first), COLLAPSED: collapsed(words, types, first, more)}
+                forms = {
+                    TEMPLATE: (words, types, first), PLAIN: (words, types, first),
+                    COLLAPSED: collapsed(words, types, first, more), OPENED: collapsed(words, opened, first, more_opened),
+                }
                 for form, (words, types, first) in forms.items():
                     values = np.where(types == 0, np.uint64(0), words | np.uint64(1)).view(np.int64)
                     for size in sizes:
@@ -250,7 +262,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         rows = items.select("hash").distinct().toPandas()["hash"].to_numpy(dtype=np.int64)
         wanted = spark.sparkContext.broadcast(np.sort(rows.view(np.uint64)))  # BROADCAST hashes at most
     left = _keyed(docs, "doc_id").mapInPandas(_scan("doc_id", found, wanted, False), _SCHEMA)
-    joined = left.join(F.broadcast(right) if few else right, ["hash", "size", "form"])
+    bounded = items.limit(BROADCAST_ROWS + 1).count() <= min(BROADCAST_ROWS, BROADCAST)
+    joined = left.join(F.broadcast(right) if bounded else right, ["hash", "size", "form"])
     # an alignment has at most as many windows as its item
     lined = joined.groupBy("id", "text_key", "item_id", "item_key", "form", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.array_sort(F.collect_set("at")).alias("places"),
