@@ -11,9 +11,9 @@ Every byte that a string of `LENGTH` bytes covers goes, if that string starts an
 3. Different contexts of one GRAM are sorted into suffix arrays in buckets. A stack scan of the common
    prefix lengths of neighbours yields the prefix intervals bottom up. In an interval of prefix length p
    the preceding bytes are tested: where they are diverse the interval is a maximal repeat as it stands,
-   else it extends to the left. An occurrence that shares a bytes to the left with another of its
-   interval, a + p >= LENGTH, is covered from a before its anchor to p after. `maximal_repeats` returns
-   the groups with all their occurrences.
+   else its members that share a bytes to the left are extended together by a second scan. A maximal repeat with
+   a + p >= LENGTH covers all its occurrences from a before their anchors to p after. `repeat_groups` returns
+   these groups with all their occurrences, `remove_repeats` the rest of each text.
 4. A GRAM with more than `HOT` different contexts is not gathered: its strings are counted by digest, in
    classes of `STEP` offsets first (what all strings of a class share), offset by offset where a class repeats.
 5. The spans meet their texts file by file and the remaining bytes are hashed.
@@ -140,42 +140,24 @@ class SuffixBucket:
         if len(o) > 1:
             self.lcp[1:] = np.where(g[1:] == g[:-1], _shared(r[1:], n[1:], r[:-1], n[:-1]), 0)
 
-    def nodes(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(prefix length, members, for each the most bytes it shares to the left with another member)."""
+    def maximal_repeats(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(bytes before the anchor, bytes from it on, all occurrences) of the maximal repeats of at least
+        `length` bytes: an interval whose preceding bytes are diverse is one as it stands; the members that
+        share their preceding bytes are extended to the left together, until these are diverse."""
         found = intervals(self.lcp, self.gram)
         pairs = np.array([x for x in found if x[2] - x[1] == 1], dtype=np.int64).reshape(-1, 3)
-        if len(pairs):
+        if len(pairs):  # most intervals: the two are extended to the left as far as they agree
             a, b = pairs[:, 1], pairs[:, 2]
             share = _shared(self.left[a], self.left_len[a], self.left[b], self.left_len[b])
             for p, i, j, s in zip(pairs[:, 0].tolist(), a.tolist(), b.tolist(), share.tolist()):
                 if s + p >= self.length:
-                    yield p, np.array([i, j]), np.array([s, s])
+                    yield s, p, self.order[[i, j]]
         for p, lo, hi in found:
             if hi - lo == 1:
                 continue
             m = np.arange(lo, hi + 1)
             m = m[np.argsort(self.left_rank[m], kind="stable")]
             near = _shared(self.left[m[1:]], self.left_len[m[1:]], self.left[m[:-1]], self.left_len[m[:-1]])
-            best = np.zeros(len(m), dtype=np.int64)
-            best[1:] = near
-            best[:-1] = np.maximum(best[:-1], near)
-            yield p, m, best
-
-    def covered(self) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        """(suffixes, bytes covered before the anchor of each, bytes covered from it on)."""
-        for p, m, best in self.nodes():
-            hit = best + p >= self.length
-            if hit.any():
-                yield self.order[m[hit]], best[hit], p
-
-    def maximal_repeats(self) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(bytes before the anchor, bytes from it on, all occurrences) of the maximal repeats of at least
-        `length` bytes: an interval whose preceding bytes are diverse is one as it stands; the members that
-        share their preceding bytes are extended to the left together, until these are diverse."""
-        for p, lo, hi in intervals(self.lcp, self.gram):
-            m = np.arange(lo, hi + 1)
-            m = m[np.argsort(self.left_rank[m], kind="stable")]
-            near = _shared(self.left[m[1:]], self.left_len[m[1:]], self.left[m[:-1]], self.left_len[m[:-1]])
             # the same stack scan over the left contexts: an interval of shared length a is left-diverse at a
             shares = [(int(near.min()), 0, len(m) - 1)] if len(near) and near.min() == 0 else []
             shares += intervals(np.concatenate([[0], near]), 1)
@@ -188,14 +170,24 @@ def _bucket_spans(bucket: pd.DataFrame) -> pd.DataFrame:
     rows, pos, many = bucket["row"].to_numpy(), bucket["pos"].to_numpy(dtype=np.int64), bucket["many"].to_numpy(dtype=bool)
     array = SuffixBucket(bucket["gram"].to_numpy(), bucket["right"].tolist(), bucket["left"].tolist())
     start, end = pos.copy(), pos.copy()
-    for who, before, after in array.covered():
-        # spans of one anchor all hold it: their union is one span
+    for before, after, who in array.maximal_repeats():
+        # the occurrences of a maximal repeat; spans of one anchor all hold it: their union is one span
         np.minimum.at(start, who, pos[who] - before)
         np.maximum.at(end, who, pos[who] + after)
     hit = (end > start) & ~many
     return pd.DataFrame({"row": rows[hit], "start": start[hit].astype(np.int32), "end": end[hit].astype(np.int32)})
 
 
+def _bucket_groups(bucket: pd.DataFrame) -> pd.DataFrame:
+    gram, rows, pos = (bucket[c].to_numpy() for c in ("gram", "row", "pos"))
+    array = SuffixBucket(gram, bucket["right"].tolist(), bucket["left"].tolist())
+    made = [
+        (f"{gram[who[0]]}-{k}", rows[w], pos[w], before, after)
+        for k, (before, after, who) in enumerate(array.maximal_repeats()) for w in who
+    ]
+    return pd.DataFrame(made, columns=["group_id", "row", "pos", "before", "after"])
+
+
 def _texts(path: str) -> Iterator[tuple[int, int | None, bytes]]:
     """(row, doc_id, UTF-8 text) of a stored file, a batch of rows at a time."""
     with read_range(path) as f:
@@ -287,55 +279,98 @@ def _hot_spans(contexts: DataFrame) -> DataFrame:
     strings = _repeated(cores).mapInPandas(_hot_strings, shape)
     found = _repeated(strings)
     start = F.col("pos") - F.col("offset")
-    return found.select("row", start.alias("start"), (start + LENGTH).alias("end"))
+    return found.select("row", "pos", "offset", "digest", start.alias("start"), (start + LENGTH).alias("end"))
+
+
+class Search:
+    """What both results need: the stored texts and their files, the anchors whose GRAM occurs again (`live`), one of
+    each different context (`contexts`) and the sides of those that meet others (`sides`), split at `hot`."""
+
+    def __init__(self, docs: DataFrame, hot: int):
+        small_batches(docs.sparkSession)
+        self.base = stored(
+            docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text")),
+            "texts",
+        )
+        files = self.base.select(F.shiftright("row", 33).alias("file"), F.col("_metadata.file_path").alias("path")).distinct()
+        self.files = stored(files, "files")
+        points = stored(
+            self.base.select("row", "text").mapInPandas(_find_anchors, "gram long, context long, row long, pos int, after short"),
+            "anchors",
+        )
+        grams = points.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+        self.live = stored(points.join(grams, "gram"), "live")
+        self.contexts = stored(
+            self.live.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("one")),
+            "contexts",
+        )
+
+    def sides(self, hot: int, all_many: bool) -> tuple[DataFrame | None, DataFrame | None]:
+        """(buckets of cold contexts, hot contexts) of GRAMs with more than one context; where every context of a
+        GRAM has copies, all its strings are covered anyway, and it is left out unless `all_many`."""
+        met = self.contexts.groupBy("gram").agg(F.count("*").alias("held"), F.min("n").alias("least")).where("held > 1")
+        met = met if all_many else met.where("least = 1")
+        points = self.contexts.join(met.select("gram"), "gram").select("gram", "one.row", "one.pos", (F.col("n") > 1).alias("many"))
+        at = stored(
+            _by_file(self.files, points, _contexts, "gram long, row long, pos int, many boolean, left binary, right binary"), "sides"
+        )
+        busy = met.where(F.col("held") > hot).select("gram")
+        total = at.count()
+        if not total:
+            return None, None
+        is_hot = bool(busy.take(1))
+        cold = at.join(busy, "gram", "left_anti") if is_hot else at
+        n = max(1, total // BUCKET)
+        cold = cold.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(n))).repartition(n, "bucket")
+        return cold, at.join(busy, "gram") if is_hot else None
 
 
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of `docs`."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    base = stored(
-        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text")),
-        "texts",
-    )
-    files = base.select(F.shiftright("row", 33).alias("file"), F.col("_metadata.file_path").alias("path")).distinct()
-    files = stored(files, "files")
-    points = stored(
-        base.select("row", "text").mapInPandas(_find_anchors, "gram long, context long, row long, pos int, after short"),
-        "anchors",
-    )
-    grams = points.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    live = stored(points.join(grams, "gram"), "live")
-    contexts = stored(
-        live.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("one")),
-        "contexts",
-    )
-    copies = live.join(contexts.where("n > 1").select("gram", "context"), ["gram", "context"]).select(
+    found = Search(docs, hot)
+    again = found.contexts.where("n > 1").select("gram", "context")
+    spans = found.live.join(again, ["gram", "context"]).select(
         "row",
         F.greatest(F.lit(0), F.col("pos") - REACH).alias("start"),
         (F.col("pos") + F.col("after")).cast("int").alias("end"),
     )
-    mixed = contexts.groupBy("gram").agg(F.count("*").alias("held"), F.min("n").alias("least")).where("held > 1 and least = 1")
-    open_ = contexts.join(mixed.select("gram", "held"), "gram").select(
-        "gram", "one.row", "one.pos", (F.col("n") > 1).alias("many"), "held"
-    )
-    at = _by_file(files, open_.select("gram", "row", "pos", "many"), _contexts,
-                  "gram long, row long, pos int, many boolean, left binary, right binary")
-    at = stored(at, "sides")
-    busy = mixed.where(F.col("held") > hot).select("gram")
-    spans = copies
-    total = at.count()
-    if total:
-        cold, is_hot = at, bool(busy.take(1))
-        if is_hot:
-            cold = at.join(busy, "gram", "left_anti")
-            spans = spans.unionByName(_hot_spans(at.join(busy, "gram")))
-        n = max(1, total // BUCKET)
-        tree = (
-            cold.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(n)))
-            .repartition(n, "bucket").groupBy("bucket")
-            .applyInPandas(_bucket_spans, "row long, start int, end int")
-        )
-        spans = spans.unionByName(tree)
-    return _by_file(files, spans, _cut_texts,
+    cold, busy = found.sides(hot, all_many=False)
+    if cold is not None:
+        spans = spans.unionByName(cold.groupBy("bucket").applyInPandas(_bucket_spans, "row long, start int, end int"))
+    if busy is not None:
+        spans = spans.unionByName(_hot_spans(busy).select("row", "start", "end"))
+    return _by_file(found.files, spans, _cut_texts,
                     "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def repeat_groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """(group_id, n_bytes, maximal, doc_id, row, start): every occurrence of every repeated string of at least LENGTH
+    bytes that holds an anchor, as maximal repeats from the interval tree, and equal contexts (REACH bytes before
+    an anchor, LENGTH after it) as one group each. Strings of a GRAM with over `hot` contexts come in their
+    LENGTH-byte pieces, not maximal ones."""
+    found = Search(docs, hot)
+    where = found.base.select("row", "doc_id")
+    again = found.contexts.where("n > 1").select("gram", "context")
+    equal = found.live.join(again, ["gram", "context"]).select(
+        F.concat_ws("=", "gram", "context").alias("group_id"),
+        (F.least("pos", F.lit(REACH)) + F.col("after")).alias("n_bytes"),
+        F.lit(True).alias("maximal"), "row", F.greatest(F.lit(0), F.col("pos") - REACH).alias("start"),
+    ).where(F.col("n_bytes") >= LENGTH)
+    out = equal
+    cold, busy = found.sides(hot, all_many=True)
+    ones = found.contexts.select(F.col("one.row").alias("row"), F.col("one.pos").alias("pos"), "gram", "context")
+    all_of = found.live.select("gram", "context", "row", "pos")
+    if cold is not None:
+        tree = cold.groupBy("bucket").applyInPandas(_bucket_groups, "group_id string, row long, pos int, before int, after int")
+        full = tree.join(ones, ["row", "pos"]).drop("row", "pos").join(all_of, ["gram", "context"])
+        out = out.unionByName(full.select(
+            "group_id", (F.col("before") + F.col("after")).alias("n_bytes"), F.lit(True).alias("maximal"), "row",
+            (F.col("pos") - F.col("before")).alias("start"),
+        ))
+    if busy is not None:
+        full = _hot_spans(busy).join(ones, ["row", "pos"]).drop("row", "pos", "start", "end").join(all_of, ["gram", "context"])
+        out = out.unionByName(full.select(
+            F.concat_ws("+", "gram", "offset", F.hex("digest")).alias("group_id"), F.lit(LENGTH).alias("n_bytes"),
+            F.lit(False).alias("maximal"), "row", (F.col("pos") - F.col("offset")).alias("start"),
+        ))
+    return out.join(where, "row").select("group_id", "n_bytes", "maximal", "doc_id", "row", "start")

@@ -97,6 +97,22 @@ def test_repeats(docs, nothing, hot):
     assert suffixes.remove_repeats(nothing, hot).count() == 0
 
 
+@pytest.mark.parametrize("hot", [suffixes.HOT, 1])
+def test_repeat_groups(docs, hot):
+    """Every occurrence of a group holds the group's string; together they cover what is removed; none is left out."""
+    texts = {r.row: (r.text or "").encode() for r in suffixes.Search(docs, hot).base.collect()}
+    groups = collections.defaultdict(set)
+    for r in suffixes.repeat_groups(docs, hot).collect():
+        groups[r.group_id, r.n_bytes, r.maximal].add((r.row, r.start))
+    covered = collections.defaultdict(set)
+    for (_, n, _), where in groups.items():
+        assert len(where) > 1 and len({texts[row][at : at + n] for row, at in where}) == 1 and n >= 200
+        for row, at in where:
+            covered[row].update(range(at, at + n))
+    want = collections.Counter((n, gone) for _, n, gone, *_ in _removed([(r, t.decode()) for r, t in texts.items()]))
+    assert want == collections.Counter((len(t), len(covered[r])) for r, t in texts.items())
+
+
 def test_maximal_repeats():
     left, right = [b"xab", b"yab", b"zab"], [b"cdef1", b"cdef2", b"cdeg3"]
     array = suffixes.SuffixBucket(np.array([1, 1, 1]), right, left, length=5, gram=2)
