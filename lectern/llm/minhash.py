@@ -19,7 +19,8 @@ verified on the exact multisets: shared / united >= THRESHOLD.
 
 Defined results: null and empty texts, and those without words, are one class and link with nothing
 else; a text of fewer than five words has one shingle of all its words; a null doc_id has no class and
-is kept; rows that repeat a doc_id are one document and kept once; an empty table gives no rows.
+is kept; rows that repeat a doc_id are one document, of which each different text is kept once; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -289,9 +290,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each class."""
+    """`docs` with one document of each class; where a doc_id repeats, with each of its different texts once."""
     kept = classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    once = W.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
+    once = W.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[c for c in docs.columns if c != "doc_id"])
     named = (
         docs.join(kept, F.col("doc_id") == F.col("__kept_id"), "left_semi")
         .withColumn("__near_copy", F.row_number().over(once)).where("__near_copy = 1").drop("__near_copy")
