@@ -29,9 +29,15 @@ def hilbert(axes: list[str], bits: int = BITS) -> Column:
     n = len(axes)
     steps = [(1 << b, i) for b in range(bits - 1, 0, -1) for i in range(n)]
     start = F.array(*[F.col(a).cast("int") for a in axes])
-    undone = start
-    if steps:
-        undone = F.aggregate(
+
+    def bound(value: Column, body) -> Column:
+        """`body` of `value`, which is computed once however often the body names it."""
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def undone() -> Column:
+        if not steps:
+            return start
+        return F.aggregate(
             F.array(*[F.struct(F.lit(q).alias("q"), F.lit(i).alias("i")) for q, i in steps]),
             start,
             lambda x, s: F.transform(
@@ -47,21 +53,26 @@ def hilbert(axes: list[str], bits: int = BITS) -> Column:
                 ),
             ),
         )
-    gray = F.transform(
-        undone,
-        lambda _, k: F.aggregate(F.slice(undone, F.lit(1), k + 1), F.lit(0), lambda a, v: a.bitwiseXOR(v)),
-    )
-    turned = F.aggregate(
-        F.array(*[F.lit(1 << b) for b in range(bits - 1, 0, -1)]),
-        F.lit(0),
-        lambda t, q: F.when(F.get(gray, F.lit(n - 1)).bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t),
-    )
-    final = F.transform(gray, lambda v: v.bitwiseXOR(turned))
-    return F.aggregate(
-        F.array(*[F.struct(F.lit(1 << b).alias("q"), F.lit(i).alias("i")) for b in range(bits - 1, -1, -1) for i in range(n)]),
-        F.lit(0).cast("long"),
-        lambda h, s: h * 2 + F.when(F.get(final, s["i"]).bitwiseAND(s["q"]) != 0, 1).otherwise(0),
-    )
+
+    def gray(u: Column) -> Column:
+        return F.transform(u, lambda _, k: F.aggregate(F.slice(u, F.lit(1), k + 1), F.lit(0), lambda a, v: a.bitwiseXOR(v)))
+
+    def turn(g: Column) -> Column:
+        return F.aggregate(
+            F.array(*[F.lit(1 << b) for b in range(bits - 1, 0, -1)]),
+            F.lit(0),
+            lambda t, q: F.when(F.get(g, F.lit(n - 1)).bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t),
+        )
+
+    def interleaved(x: Column) -> Column:
+        return F.aggregate(
+            F.array(*[F.struct(F.lit(1 << b).alias("q"), F.lit(i).alias("i")) for b in range(bits - 1, -1, -1) for i in range(n)]),
+            F.lit(0).cast("long"),
+            lambda h, s: h * 2 + F.when(F.get(x, s["i"]).bitwiseAND(s["q"]) != 0, 1).otherwise(0),
+        )
+
+    return bound(undone(), lambda u: bound(gray(u), lambda g: bound(turn(g), lambda t: bound(
+        F.transform(g, lambda v: v.bitwiseXOR(t)), interleaved))))
 
 
 def _even(df: DataFrame, name: str, bits: int, as_name: str) -> DataFrame:
