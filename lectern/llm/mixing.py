@@ -61,13 +61,14 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -
 
 
 def plan(
-    docs: DataFrame, weights: list[float], share: float, most: float, seed: str, row_id: str = "doc_id"
+    docs: DataFrame, weights: list[float], share: float, most: float, seed: str, row_id: str = "doc_id", key: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Rows (row_id, source, size, key, source_size, target, whole, rest, before) and the table of sources.
 
     `whole` epochs take every row; of one more epoch, `rest` words are taken in key order; `before` is
     the number of words that precede the row in its source."""
-    slim = cut(docs.select(row_id, "source", words("text").alias("size"), random_key(row_id, seed).alias("key")))
+    key = random_key(row_id, seed) if key is None else key
+    slim = cut(docs.select(row_id, "source", words("text").alias("size"), key.alias("key")))
     slim = slim.withColumn("bucket", F.substring("key", 1, 2))
     buckets = cut(slim.groupBy("source", "bucket").agg(F.sum("size").alias("held")))
     sources = (
@@ -107,25 +108,37 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share=1.5, most=2.0, seed="mix") ->
 def apply_mix(docs: DataFrame, weights=(3, 1, 2), share=1.5, most=2.0, seed="mix") -> DataFrame:
     """`docs` with each row as often as the mix takes it, rounded to whole documents at a source's cut.
 
-    The cut is carried as one key per source, so the texts are neither sorted nor joined by id."""
-    rows, sources = plan(docs, list(weights), share, most, seed)
+    A row's key holds a hash of all its columns, so rows of one key are equal and stand for each other. The cut is
+    carried as one key per source and how many rows of that key it takes: the texts are neither sorted nor joined
+    by id, and rows with a null or repeated id are cut as exactly as others."""
+    mark = F.xxhash64(*docs.columns).cast("string")
+    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), mark))
+    rows, sources = plan(docs, list(weights), share, most, seed, key=key)
     cuts = (
         rows.where("before < rest and (rest - before) * 2 >= size")
-        .groupBy("source").agg(F.max("key").alias("last"))
+        .groupBy("source", "key").agg(F.count("*").alias("n"))
+        .groupBy("source").agg(F.max(F.struct("key", "n")).alias("at"))
     )
-    rule = sources.alias("s").join(cuts.alias("c"), F.expr("s.source <=> c.source"), "left").select(
-        F.col("s.source").alias("__mix_source"), F.col("whole").alias("__mix_whole"), F.col("last").alias("__mix_last")
+    rule = cut(
+        sources.alias("s").join(cuts.alias("c"), F.expr("s.source <=> c.source"), "left").select(
+            F.col("s.source").alias("__mix_source"), F.col("whole").cast("long").alias("__mix_whole"),
+            F.col("at.key").alias("__mix_last"), F.col("at.n").alias("__mix_n"),
+        )
     )
     if rule.count() <= BROADCAST:  # a row per source; beyond it, the join is shuffled
         rule = F.broadcast(rule)
-    times = F.col("__mix_whole") + F.when(F.col("__mix_key") <= F.col("__mix_last"), 1).otherwise(0)
-    return (
-        docs.withColumn("__mix_key", random_key("doc_id", seed))
-        .join(rule, F.expr("source <=> __mix_source"))
-        .where(times > 0)
-        .withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long"))))
-        .select(*docs.columns)
+    keyed = docs.withColumn("__mix_key", key).join(rule, F.expr("source <=> __mix_source"))
+
+    def copies(df: DataFrame, times: Column) -> DataFrame:
+        return df.where(times > 0).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns)
+
+    before = F.coalesce((F.col("__mix_key") < F.col("__mix_last")).cast("long"), F.lit(0).cast("long"))
+    at_cut = (
+        keyed.where("__mix_key = __mix_last").groupBy("__mix_source", "__mix_n")
+        .agg(F.first(F.struct(*docs.columns)).alias("__mix_row"))
+        .select("__mix_row.*", "__mix_n")
     )
+    return copies(keyed, F.col("__mix_whole") + before).unionByName(copies(at_cut, F.col("__mix_n")))
 
 
 ORACLE = r"""
