@@ -3,14 +3,17 @@ log-count ratios, trained on labelled text.
 
 1. Labelled documents of the training fold are drawn by hash, at most `SAMPLE` of each class (the
    documented bound of the fit).
+   Their parameters below were chosen by cross-validation over the training folds alone.
 2. Document frequencies of hashed n-grams per class are counted on the executors and give each n-gram
    its log ratio of rates; the `FEATURES` with the most evidence are kept.
+   The size of the model is FEATURES, as its depth is ORDERS: a parameter of the classifier, not of the data.
 3. Logistic regression (L2, L-BFGS) is fitted on presence times log ratio; the weights are folded into
    one array, which is sent to the executors (at most `FEATURES` non-zero entries).
 4. Every whole text is scored.
 
 Defined results: a null or empty text scores the bias alone; nulls among the labels are ignored, and a
-document that is labelled more than once is toxic if any of its labels says so; with one class only, or
+document that is labelled more than once is toxic if any of its labels says so; a document whose id repeats gives
+the fit its least text; with one class only, or
 no labels, the score is that class's smoothed rate; rows that repeat are scored each.
 """
 
@@ -24,10 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 4000
-FEATURES = 12_000
+FEATURES = 50_000
 ORDERS = (4, 6, 8)
 BITS = 22
 LEAST_DF = 3
+L2 = 3e-5
+LIFT = 4.0
+CHUNK = 1_000_000
 
 
 def _codes(text: str | None) -> np.ndarray:
@@ -77,7 +83,8 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
     picked = [known.where(F.col("toxic") == y).orderBy("lot", "doc_id").limit(SAMPLE) for y in (0, 1)]
     drawn = picked[0].unionByName(picked[1])  # 2 * SAMPLE rows at most
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text")
+    # one text of each id: the bound holds however often an id repeats
+    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,30 +132,38 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
 
     rows = sample.mapInPandas(features, "doc_id long, toxic int, grams binary").toPandas()
     rows = rows.sort_values(["doc_id", "toxic"], kind="stable")
-    lists = [np.searchsorted(ids, np.frombuffer(b, dtype=np.int32)).astype(np.int32) for b in rows["grams"]]
+    lists = [np.searchsorted(ids, np.frombuffer(b, dtype=np.int32)).astype(np.int32) for b in rows.pop("grams")]
     beta, bias = logistic(lists, ratio, rows["toxic"].to_numpy(dtype=float))
     return ids, beta * ratio, bias
 
 
-def logistic(lists: list[np.ndarray], scale: np.ndarray, y: np.ndarray, l2: float = 3e-4, lift: float = 2.0) -> tuple[np.ndarray, float]:
+def logistic(lists: list[np.ndarray], scale: np.ndarray, y: np.ndarray, l2: float = L2, lift: float = LIFT) -> tuple[np.ndarray, float]:
     """L-BFGS on mean logistic loss + l2/2 |beta|^2; row i has features `lists[i]` of value `scale`.
     A row of label 1 weighs `lift`: the rarer class keeps its say at the 0.5 threshold."""
-    lengths = np.array([len(x) for x in lists])
-    cols = np.concatenate(lists) if len(lists) else np.zeros(0, dtype=int)
-    cols = cols.astype(np.int32)
-    row = np.repeat(np.arange(len(lists), dtype=np.int32), lengths)
-    vals = scale.astype(np.float32)[cols]
     n, d = len(y), len(scale)
+    parts, lo = [], 0  # (first row, last row, features end to end, row of each): about CHUNK features at a time
+    while lo < n:
+        hi, held = lo, 0
+        while hi < n and (hi == lo or held + len(lists[hi]) <= CHUNK):
+            held, hi = held + len(lists[hi]), hi + 1
+        cols = np.concatenate(lists[lo:hi]).astype(np.int32)
+        parts.append((lo, hi, cols, np.repeat(np.arange(hi - lo, dtype=np.int32), [len(x) for x in lists[lo:hi]])))
+        lo = hi
     share = np.where(y > 0, lift, 1.0)
     share /= share.sum()
 
     def loss(theta: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(row, weights=vals * theta[cols], minlength=n) + theta[d]
+        scaled, z = scale * theta[:d], np.full(n, theta[d])
+        for lo, hi, cols, row in parts:
+            z[lo:hi] += np.bincount(row, weights=scaled[cols], minlength=hi - lo)
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         value = share @ (np.logaddexp(0, z) - y * z) + l2 / 2 * theta[:d] @ theta[:d]
         g = (p - y) * share
         grad = np.empty(d + 1)
-        grad[:d] = np.bincount(cols, weights=vals * g[row], minlength=d) + l2 * theta[:d]
+        grad[:d] = 0
+        for lo, hi, cols, row in parts:
+            grad[:d] += np.bincount(cols, weights=g[lo:hi][row], minlength=d)
+        grad[:d] = grad[:d] * scale + l2 * theta[:d]
         grad[d] = g.sum()
         return value, grad
 
