@@ -24,9 +24,9 @@ TITLED = "l_norm <> '' AND r_norm <> ''"
 
 LADDERS = {
     "import": f"""CASE
-        WHEN l_norm <> '' AND l_norm = r_norm AND NOT shared THEN 'AUTHOR_CONFLICT'
-        WHEN l_norm <> '' AND l_norm = r_norm AND gap > 3 THEN 'YEAR_CONFLICT'
-        WHEN l_norm <> '' AND l_norm = r_norm THEN '+IMPORT_EXACT_TITLE'
+        WHEN NOT targeted AND l_norm <> '' AND l_norm = r_norm AND l_named AND r_named AND NOT shared THEN 'AUTHOR_CONFLICT'
+        WHEN NOT targeted AND l_norm <> '' AND l_norm = r_norm AND gap > 3 THEN 'YEAR_CONFLICT'
+        WHEN NOT targeted AND l_norm <> '' AND l_norm = r_norm THEN '+IMPORT_EXACT_TITLE'
         WHEN sim < {policy.TITLE_MIN} THEN 'BELOW_MIN_SIM'
         WHEN {policy.TITLE_WEIGHT} * sim + CASE WHEN shared THEN {policy.AUTHOR_BONUS} ELSE 0.0 END
           + CASE WHEN gap <= 1 THEN {policy.YEAR_BONUS} ELSE 0.0 END >= {policy.DUPLICATE} THEN '+IMPORT_WEIGHTED'
@@ -36,7 +36,10 @@ LADDERS = {
         WHEN l_doi <> '' AND l_doi = r_doi AND sim < {policy.IDENTIFIER_TITLE} THEN 'IDENTIFIER_TITLE_CONFLICT'
         WHEN l_doi <> '' AND l_doi = r_doi THEN '+DOI_EXACT'
         WHEN l_doi <> '' AND r_doi <> '' AND l_pre = r_pre THEN 'DOI_CONFLICT'
+        WHEN l_arxiv <> '' AND r_arxiv <> '' AND l_arxiv <> r_arxiv THEN 'ARXIV_CONFLICT'
         WHEN NOT ({TITLED}) THEN 'MISSING_TITLE'
+        WHEN l_arxiv <> '' AND l_arxiv = r_arxiv AND sim < {policy.IDENTIFIER_TITLE} THEN 'IDENTIFIER_TITLE_CONFLICT'
+        WHEN l_arxiv <> '' AND l_arxiv = r_arxiv THEN '+ARXIV_EXACT'
         WHEN ext AND sim >= {policy.MULTI_SIGNAL} THEN '+EXTERNAL_ID'
         WHEN sim >= {policy.DUPLICATE} AND gap > 3 THEN 'YEAR_CONFLICT'
         WHEN sim >= {policy.DUPLICATE} AND shared THEN '+HIGH_TITLE_SIM'
@@ -58,6 +61,7 @@ LADDERS = {
         WHEN l_doi <> '' AND r_doi <> '' AND l_base = r_base AND sim < {policy.IDENTIFIER_TITLE} THEN 'IDENTIFIER_TITLE_CONFLICT'
         WHEN l_doi <> '' AND l_doi = r_doi THEN '+DOI_EXACT'
         WHEN l_doi <> '' AND r_doi <> '' AND l_base = r_base THEN '+DOI_VERSION'
+        WHEN l_doi <> '' AND r_doi <> '' AND l_sec <> r_sec AND l_arxiv <> '' AND r_arxiv <> '' AND l_arxiv <> r_arxiv THEN 'ARXIV_CONFLICT'
         WHEN l_doi <> '' AND r_doi <> '' AND l_sec <> r_sec AND sim >= {policy.PREPRINT_TITLE}
           AND round({COMPOSITE}, 9) >= {policy.COMPOSITE} THEN '+PREPRINT_PAIR'
         WHEN l_doi <> '' AND r_doi <> '' AND l_sec <> r_sec THEN 'PREPRINT_PAIR'
@@ -82,7 +86,7 @@ LADDERS = {
 # beginning or end is of 15 characters, the least that `trunc` takes (`prefix20` takes more).
 BLOCKS = {
     "import": ((), policy.TITLE_MIN),
-    "enrichment": (("base", "head", "tail"), min(policy.MULTI_SIGNAL, policy.DUPLICATE)),
+    "enrichment": (("base", "arxiv", "head", "tail"), min(policy.MULTI_SIGNAL, policy.DUPLICATE)),
     "doi_net": (("base",), None),
     "survivor": (("base", "head", "tail"), min(policy.PREPRINT_TITLE, policy.DUPLICATE, 0.6)),
 }
@@ -107,7 +111,8 @@ def _similar(records: DataFrame, least: float) -> DataFrame:
 def candidates(files: DataFrame, context: str) -> DataFrame:
     """Pairs of records of one author, with the columns of v_pairs: all that a ladder can accept."""
     norm, doi = text.normalize_title("title"), ids.norm_doi("doi")
-    records = files.select("id", "dir", norm.alias("norm"), ids.doi_base(doi).alias("base")).select(
+    files = _with_identifiers(files)
+    records = files.select("id", "dir", norm.alias("norm"), ids.doi_base(doi).alias("base"), "arxiv").select(
         "*", *[F.when(F.length("norm") >= 15, f("norm", F.lit(15))).alias(n) for n, f in (("head", F.left), ("tail", F.right))])
     keys, least = BLOCKS[context]
     found = [] if least is None else [_similar(records, least)]
@@ -118,12 +123,21 @@ def candidates(files: DataFrame, context: str) -> DataFrame:
     if keys:
         pairs = pairs.distinct()
     venue = F.coalesce("journal", "booktitle", "howpublished")
-    side = lambda s: files.select(F.col("id").alias(f"{s}id"), *(["dir"] if s == "l" else []), *[F.col(c).alias(f"{s}{c}") for c in ("key", "title", "author", "year", "doi", "journal")], F.col("s2_id").alias(f"{s}s2"), venue.alias(f"{s}venue"))
+    side = lambda s: files.select(F.col("id").alias(f"{s}id"), *(["dir"] if s == "l" else []), *[F.col(c).alias(f"{s}{c}") for c in ("key", "title", "author", "year", "doi", "journal", "arxiv")], F.col("s2_id").alias(f"{s}s2"), venue.alias(f"{s}venue"))
     return pairs.join(side("l"), "lid").join(side("r"), "rid")
 
 
-def features(pairs: DataFrame) -> DataFrame:
-    """Features of pairs with lid, rid and l/r title, author, year, doi, journal, venue, key, s2."""
+def _with_identifiers(files: DataFrame) -> DataFrame:
+    """`files` with arxiv; its columns archiveprefix and eprint may be missing."""
+    held = {c: F.col(c) if c in files.columns else F.lit(None).cast("string") for c in ("archiveprefix", "eprint")}
+    return files.withColumn("arxiv", ids.entry_arxiv(held["archiveprefix"], held["eprint"], F.col("doi"), F.coalesce(F.nullif("journal", F.lit("")), "howpublished")))
+
+
+def features(pairs: DataFrame, target: str | None = None) -> DataFrame:
+    """Features of pairs with lid, rid and l/r title, author, year, doi, journal, venue, key, s2, arxiv. With a target
+    author, that name stands for the left list of authors."""
+    if target is not None:
+        pairs = pairs.withColumn("lauthor", F.lit(target))
     a, b = (people.parse_authors(c) for c in ("lauthor", "rauthor"))
     base = pairs.select(
         "lid", "rid",
@@ -134,7 +148,10 @@ def features(pairs: DataFrame) -> DataFrame:
         F.abs(F.col("lyear") - F.col("ryear")).alias("gap"),
         text.text(ids.norm_doi("ldoi")).alias("l_doi"), text.text(ids.norm_doi("rdoi")).alias("r_doi"),
         text.text("ljournal").alias("l_journal"), text.text("rjournal").alias("r_journal"),
-        (F.col("lkey") == F.col("rkey")).alias("same_key"),
+        F.expr("lkey <> '' and lkey = rkey").alias("same_key"),
+        F.lit(target is not None).alias("targeted"),
+        *[(F.trim(text.text(f"{s}author")) != "").alias(f"{s}_named") for s in "lr"],
+        text.text("larxiv").alias("l_arxiv"), text.text("rarxiv").alias("r_arxiv"),
         F.coalesce(F.col("ls2") == F.col("rs2"), F.lit(False)).alias("ext"),
     )
     return base.select(
@@ -155,7 +172,7 @@ def features(pairs: DataFrame) -> DataFrame:
     )
 
 
-def decide(pairs: DataFrame, context: str) -> DataFrame:
-    """(lid, rid, verdict, reason) of each pair in one context."""
-    step = features(pairs).withColumn("step", F.expr(LADDERS[context]))
+def decide(pairs: DataFrame, context: str, target: str | None = None) -> DataFrame:
+    """(lid, rid, verdict, reason) of each pair in one context; `target` is for "import" alone."""
+    step = features(pairs, target).withColumn("step", F.expr(LADDERS[context]))
     return step.select("lid", "rid", F.startswith("step", F.lit("+")).alias("verdict"), F.regexp_replace("step", r"^\+", "").alias("reason"))

@@ -19,7 +19,7 @@ def _side(s: str) -> str:
             f" coalesce({s}journal, '') AS {s}_journal, {o.signatures(f'{s}author')} AS {s}_sigs, len(string_split({s}author, ' and ')) AS {s}_people")
 
 
-FEATURES = f"""b0 AS (SELECT lid, rid, {_side('l')}, {_side('r')}, abs(lyear - ryear) AS gap, lkey = rkey AS same_key, coalesce(ls2 = rs2, false) AS ext FROM v_pairs),
+FEATURES = f"""b0 AS (SELECT lid, rid, {_side('l')}, {_side('r')}, abs(lyear - ryear) AS gap, lkey = rkey AS same_key, coalesce(lauthor, '') <> '' AS has_l, coalesce(rauthor, '') <> '' AS has_r, coalesce(larxiv, '') AS larxiv, coalesce(rarxiv, '') AS rarxiv, coalesce(ls2 = rs2, false) AS ext FROM v_pairs),
 b1 AS (SELECT *, {o.ratio('l_norm', 'r_norm')} AS sim, CASE WHEN l_venue = '' OR r_venue = '' THEN 0.0 ELSE {o.ratio('l_venue', 'r_venue')} END AS venue_sim,
   len(list_filter(l_sigs, lambda p: len(list_filter(r_sigs, lambda q: p.last = q.last AND {o.compatible('p.initials', 'q.initials')})) > 0)) AS hits,
   l_norm <> r_norm AND least(len(l_norm), len(r_norm)) >= 15 AND CASE WHEN len(l_norm) <= len(r_norm) THEN starts_with(r_norm, l_norm) OR ends_with(r_norm, l_norm) ELSE starts_with(l_norm, r_norm) OR ends_with(l_norm, r_norm) END AS trunc,
@@ -30,15 +30,53 @@ b1 AS (SELECT *, {o.ratio('l_norm', 'r_norm')} AS sim, CASE WHEN l_venue = '' OR
 f AS (SELECT *, hits > 0 AS shared, hits::DOUBLE / (len(l_sigs) + len(r_sigs) - hits) AS ratio, l_pre OR l_server AS l_pre_rec, r_pre OR r_server AS r_pre_rec FROM b1)"""
 
 
+# The ladders once more, for DuckDB alone and with their numbers written out, so that the two texts can disagree.
+_REFUSED = "CASE WHEN l_norm = '' OR r_norm = '' THEN 'MISSING_TITLE' WHEN sim < 0.55 THEN 'IDENTIFIER_TITLE_CONFLICT' END"
+_SCORE = "(sim * 0.4 + ratio * 0.25 + venue_sim * 0.15 + if(ext, 0.15, 0) + CASE gap WHEN 0 THEN 0.1 WHEN 1 THEN 0.05 ELSE 0 END)"
+_XOR = "if(l_pre_rec <> r_pre_rec, 0.1, 0)"
+_PEOPLE = "least(l_people, r_people) >= 2 AND ratio >= 0.9 AND sim >= 0.6"
+_BOTH_DOIS = "(l_doi <> '' AND r_doi <> '')"
+STEPS = {
+    "import": f"""CASE WHEN l_norm <> '' AND l_norm = r_norm THEN CASE WHEN has_l AND has_r AND NOT shared THEN 'AUTHOR_CONFLICT' WHEN gap > 3 THEN 'YEAR_CONFLICT' ELSE '+IMPORT_EXACT_TITLE' END
+ WHEN sim < 0.8 THEN 'BELOW_MIN_SIM'
+ ELSE if(0.7 * sim + if(shared, 0.2, 0) + if(coalesce(gap <= 1, false), 0.2, 0) >= 0.95, '+', '') || 'IMPORT_WEIGHTED' END""",
+    "enrichment": f"""CASE WHEN {_BOTH_DOIS} AND l_doi = r_doi THEN coalesce({_REFUSED}, '+DOI_EXACT')
+ WHEN {_BOTH_DOIS} AND l_pre = r_pre THEN 'DOI_CONFLICT'
+ WHEN larxiv <> '' AND rarxiv <> '' THEN if(larxiv = rarxiv, coalesce({_REFUSED}, '+ARXIV_EXACT'), 'ARXIV_CONFLICT')
+ WHEN l_norm = '' OR r_norm = '' THEN 'MISSING_TITLE'
+ WHEN ext AND sim >= 0.35 THEN '+EXTERNAL_ID'
+ WHEN sim >= 0.95 THEN CASE WHEN gap > 3 THEN 'YEAR_CONFLICT' WHEN shared THEN '+HIGH_TITLE_SIM' ELSE 'AUTHOR_CONFLICT' END
+ WHEN trunc AND gap > 3 THEN 'YEAR_CONFLICT' WHEN trunc AND shared THEN '+TRUNCATED_TITLE'
+ WHEN sim < 0.35 THEN 'BELOW_MIN_SIM'
+ WHEN l_pre_rec <> r_pre_rec OR ext OR ({_PEOPLE}) THEN if(round({_SCORE}, 9) >= 0.6, '+', '') || 'COMPOSITE'
+ ELSE 'GATE_CLOSED' END""",
+    "doi_net": f"""CASE WHEN NOT {_BOTH_DOIS} OR l_base <> r_base THEN 'NO_MATCH' ELSE coalesce({_REFUSED}, if(l_doi = r_doi, '+DOI_EXACT', '+DOI_VERSION')) END""",
+    "survivor": f"""CASE WHEN {_BOTH_DOIS} THEN CASE
+   WHEN l_base = r_base THEN coalesce({_REFUSED}, if(l_doi = r_doi, '+DOI_EXACT', '+DOI_VERSION'))
+   WHEN l_sec = r_sec THEN 'DOI_CONFLICT'
+   WHEN larxiv <> '' AND rarxiv <> '' AND larxiv <> rarxiv THEN 'ARXIV_CONFLICT'
+   ELSE if(sim >= 0.55 AND round({_SCORE}, 9) >= 0.6, '+', '') || 'PREPRINT_PAIR' END
+ WHEN ext AND sim >= 0.55 THEN '+EXTERNAL_ID'
+ WHEN same_key THEN CASE WHEN sim >= 0.95 OR prefix20 THEN '+KEY_TITLE' WHEN ratio >= 0.8 AND sim >= 0.55 THEN '+KEY_AUTHOR_OVERLAP' ELSE 'NO_MATCH' END
+ WHEN sim >= 0.95 THEN CASE WHEN l_doi || r_doi <> '' THEN '+HIGH_TITLE_SIM' WHEN gap > 3 THEN 'YEAR_CONFLICT' WHEN shared THEN '+HIGH_TITLE_SIM' ELSE 'AUTHOR_CONFLICT' END
+ WHEN trunc AND l_doi || r_doi = '' AND gap > 3 THEN 'YEAR_CONFLICT'
+ WHEN trunc AND shared THEN '+TRUNCATED_TITLE'
+ WHEN {_PEOPLE} AND round({_SCORE} + {_XOR}, 9) >= 0.6 THEN '+COMPOSITE'
+ WHEN sim >= 0.55 AND shared AND (l_sec OR l_server) <> (r_sec OR r_server)
+   AND (((l_sec OR l_server) AND r_doi || r_journal <> '') OR ((r_sec OR r_server) AND l_doi || l_journal <> '')) THEN '+PREPRINT_RELAXED'
+ ELSE 'NO_MATCH' END""",
+}
+
+
 def _identity_sql(context: str) -> str:
-    return f"WITH {FEATURES}, s AS (SELECT lid, rid, {identity.LADDERS[context]} AS step FROM f) SELECT lid, rid, starts_with(step, '+') AS verdict, replace(step, '+', '') AS reason FROM s"
+    return f"WITH {FEATURES}, s AS (SELECT lid, rid, {STEPS[context]} AS step FROM f) SELECT lid, rid, starts_with(step, '+') AS verdict, replace(step, '+', '') AS reason FROM s"
 
 
 for _context in identity.LADDERS:
     query(f"identity_{_context}", "v_pairs", sql=_identity_sql(_context))(lambda t, c=_context: identity.decide(t, c))
 
 
-@query("dedup_score", "v_pairs", sql=f"WITH {FEATURES} SELECT lid, rid, round({identity.COMPOSITE} + {identity.XOR_BONUS}, 6)::DOUBLE AS score FROM f")
+@query("dedup_score", "v_pairs", sql=f"WITH {FEATURES} SELECT lid, rid, round({_SCORE} + {_XOR}, 6)::DOUBLE AS score FROM f")
 def dedup_score(t: DataFrame) -> DataFrame:
     return identity.features(t).select("lid", "rid", F.round(F.expr(f"{identity.COMPOSITE} + {identity.XOR_BONUS}").cast("double"), 6).alias("score"))
 
@@ -55,7 +93,7 @@ def topk_candidates(t: DataFrame) -> DataFrame:
     return identity.features(t).where("sim >= 0.8").withColumn("place", F.row_number().over(best).cast("long")).where("place <= 5").select("lid", "rid", "place", F.round("sim", 6).alias("sim"))
 
 
-@query("admit_candidates", "v_pairs", sql=f"WITH {FEATURES}, s AS (SELECT lid, rid, {identity.LADDERS['enrichment']} AS step FROM f) SELECT lid, min(rid) AS rid FROM s WHERE starts_with(step, '+') GROUP BY lid")
+@query("admit_candidates", "v_pairs", sql=f"WITH {FEATURES}, s AS (SELECT lid, rid, {STEPS['enrichment']} AS step FROM f) SELECT lid, min(rid) AS rid FROM s WHERE starts_with(step, '+') GROUP BY lid")
 def admit_candidates(t: DataFrame) -> DataFrame:
     return identity.decide(t, "enrichment").where("verdict").groupBy("lid").agg(F.min("rid").alias("rid"))
 
@@ -72,11 +110,10 @@ def dedup_list(files: DataFrame, pairs: DataFrame) -> DataFrame:
     return cluster.greedy(records, matches)
 
 
-# not over v_pairs, which has pairs of one brand only
 query("dedup_list", "v_files")(lambda files: dedup_list(files, identity.candidates(files, "import")))
 
 
-@query("merge_lists", "v_files", "v_pairs", sql=f"""WITH {FEATURES}, s AS (SELECT lid, rid, {identity.LADDERS['import']} AS step FROM f)
+@query("merge_lists", "v_files", "v_pairs", sql=f"""WITH {FEATURES}, s AS (SELECT lid, rid, {STEPS['import']} AS step FROM f)
 SELECT id, dir FROM v_files WHERE id % 3 <> 0 UNION ALL SELECT id, dir FROM v_files v WHERE id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM s WHERE starts_with(step, '+') AND (s.lid = v.id AND s.rid % 3 <> 0 OR s.rid = v.id AND s.lid % 3 <> 0))""")
 def merge_lists(files: DataFrame, pairs: DataFrame) -> DataFrame:
     first, second = files.where("id % 3 <> 0"), files.where("id % 3 = 0")
@@ -84,7 +121,7 @@ def merge_lists(files: DataFrame, pairs: DataFrame) -> DataFrame:
     return first.select("id", "dir").unionByName(second.join(hit, "id", "left_anti").select("id", "dir"))
 
 
-@query("superseded_preprints", "v_files", "v_pairs", sql=f"""WITH {FEATURES}, s AS (SELECT lid, rid, l_pre_rec, r_pre_rec, {identity.LADDERS['survivor']} AS step FROM f)
+@query("superseded_preprints", "v_files", "v_pairs", sql=f"""WITH {FEATURES}, s AS (SELECT lid, rid, l_pre_rec, r_pre_rec, {STEPS['survivor']} AS step FROM f)
 SELECT DISTINCT id, path FROM v_files v JOIN s ON (v.id = s.lid AND l_pre_rec AND NOT r_pre_rec OR v.id = s.rid AND r_pre_rec AND NOT l_pre_rec) WHERE starts_with(step, '+')""")
 def superseded_preprints(files: DataFrame, pairs: DataFrame) -> DataFrame:
     f = identity.features(pairs).withColumn("step", F.expr(identity.LADDERS["survivor"])).where("startswith(step, '+') and l_pre_rec <> r_pre_rec")
@@ -96,7 +133,7 @@ _ACTION = """CASE WHEN NOT starts_with(step, '+') THEN 'DISTINCT' WHEN l_pre_rec
  WHEN l_doi = '' AND r_doi <> '' THEN 'REPLACE' WHEN l_doi <> '' AND r_doi = '' THEN 'KEEP_EXISTING' WHEN gap > 0 THEN 'USE_NEW_NAME' ELSE 'REUSE_KEY' END"""
 
 
-@query("survivor_decision", "v_pairs", sql=f"WITH {FEATURES}, s AS (SELECT *, {identity.LADDERS['survivor']} AS step FROM f) SELECT lid, rid, {_ACTION} AS action FROM s")
+@query("survivor_decision", "v_pairs", sql=f"WITH {FEATURES}, s AS (SELECT *, {STEPS['survivor']} AS step FROM f) SELECT lid, rid, {_ACTION} AS action FROM s")
 def survivor_decision(t: DataFrame) -> DataFrame:
     return identity.features(t).withColumn("step", F.expr(identity.LADDERS["survivor"])).select("lid", "rid", F.expr(_ACTION.replace("starts_with", "startswith")).alias("action"))
 
@@ -115,10 +152,10 @@ def external_id_join(t: DataFrame) -> DataFrame:
     return found[0].unionByName(found[1]).distinct()
 
 
-@query("provider_search", "v_articles", "v_files", sql=f"""WITH a AS (SELECT id, {o.norm_title('title')} AS norm FROM v_articles WHERE id % 10 = 0), r AS (SELECT id AS rid, {o.norm_title('title')} AS norm FROM v_files)
+@query("provider_search", "v_articles", "v_files", sql=f"""WITH a AS (SELECT id, {o.norm_title('title')} AS norm FROM v_articles), r AS (SELECT id AS rid, {o.norm_title('title')} AS norm FROM v_files)
 SELECT a.id, r.rid FROM a JOIN r USING (norm)""")
 def provider_search(articles: DataFrame, files: DataFrame) -> DataFrame:
-    a = articles.where("id % 10 = 0").select("id", text.normalize_title("title").alias("norm"))
+    a = articles.select("id", text.normalize_title("title").alias("norm"))
     return a.join(files.select(F.col("id").alias("rid"), text.normalize_title("title").alias("norm")), "norm").select("id", "rid")
 
 

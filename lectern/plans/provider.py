@@ -80,7 +80,7 @@ def seed_identifiers(t: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(first("a").alias("arxiv"), first("d").alias("doi"))
 
 
-@query("prefix_reconcile", "v_files", sql="SELECT id, CASE WHEN id % 4 = 0 THEN 'author-' || id % 25 || '-' || key ELSE key END AS key FROM v_files")
+@query("prefix_reconcile", "v_files", sql="SELECT id, CASE WHEN id % 4 = 0 THEN 'author-' || id // 10 || '-' || key ELSE key END AS key FROM v_files")
 def prefix_reconcile(t: DataFrame) -> DataFrame:
     had = F.when(F.col("id") % 4 == 0, F.concat(F.lit("old-9-"), "key")).otherwise(F.col("key"))
     rest = F.regexp_extract(had, r"^[a-z]+-\d+-(.*)$", 1)

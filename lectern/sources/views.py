@@ -24,6 +24,11 @@ _BOOKTITLES = "CASE p_size % 16 WHEN 0 THEN 'PACM HCI' WHEN 1 THEN 'Proceedings
 _MARKS = "CASE p_size % 7 WHEN 0 THEN ' [Preprint]' WHEN 1 THEN ' [J]' WHEN 2 THEN ' -' WHEN 3 THEN ': -a b-' WHEN 4 THEN ' of the...' WHEN 5 THEN '' WHEN 6 THEN '' END"
 _DOIS = "CASE (p_partkey + p_size) % 8 WHEN 0 THEN '10.48550/arxiv.2301.00001' WHEN 1 THEN '10.1101/2020.01' WHEN 2 THEN '10.1016/b.ch12' WHEN 3 THEN '10.31234/osf.io/ab_v2' WHEN 4 THEN '10.1145/1' WHEN 5 THEN '10.5281/zenodo.5' WHEN 6 THEN NULL WHEN 7 THEN NULL END"
 _TITLE = "p_name || ' ' || lower(p_type)"
+# authors of ten records each: their number grows with the table; three records in a row are versions of one work
+_DIR = "'author-' || CAST(CAST(floor(p_partkey / 10) AS bigint) AS varchar(20))"
+_ARXIV = r"""CASE WHEN lower(coalesce(#.archiveprefix, '')) = 'arxiv' THEN regexp_replace(trim(coalesce(#.eprint, '')), 'v[0-9]+$', '')
+            WHEN regexp_extract(lower(coalesce(#.doi, '')), '10[.]48550/arxiv[.]([0-9][0-9][0-9][0-9][.][0-9][0-9][0-9][0-9][0-9]?)', 1) <> '' THEN regexp_extract(lower(coalesce(#.doi, '')), '10[.]48550/arxiv[.]([0-9][0-9][0-9][0-9][.][0-9][0-9][0-9][0-9][0-9]?)', 1)
+            ELSE regexp_extract(coalesce(#.journal, #.howpublished, ''), '[aA][rR][xX][iI][vV]:[ ]*([0-9][0-9][0-9][0-9][.][0-9][0-9][0-9][0-9][0-9]?)', 1) END"""
 
 VIEWS = {
     "v_records": f"""
@@ -42,21 +47,24 @@ VIEWS = {
           'Publisher ' || CAST(l_suppkey % 7 AS varchar(9)) AS publisher
         FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey""",
     "v_files": f"""
-        SELECT p_partkey AS id, 'author-' || CAST(p_partkey % 25 AS varchar(9)) AS dir, p_brand AS brand,
-          'author-' || CAST(p_partkey % 25 AS varchar(9)) || '/' || CAST(p_partkey AS varchar(20)) || '.bib' AS path,
+        SELECT p_partkey AS id, {_DIR} AS dir, p_brand AS brand,
+          {_DIR} || '/' || CAST(p_partkey AS varchar(20)) || '.bib' AS path,
           CASE WHEN p_size % 3 = 0 THEN 'misc' WHEN p_size % 3 = 1 THEN 'article' ELSE 'inproceedings' END AS type,
           'Key' || CAST(p_size % 10 AS varchar(9)) AS key,
-          {_TITLE} || CASE WHEN p_partkey % 7 = 0 THEN ' revisited' WHEN p_partkey % 11 = 0 THEN ', a Study' ELSE '' END AS title,
-          {_name('p_size')} || ' and ' || {_name('p_size + p_partkey % 2 + 1')} AS author,
-          2015 + CAST(p_size % 10 AS int) AS year,
+          work || CASE WHEN p_partkey % 7 = 0 THEN ' revisited' WHEN p_partkey % 11 = 0 THEN ', a Study' ELSE '' END AS title,
+          {_name('work_size')} || ' and ' || {_name('work_size + p_partkey % 2 + 1')} AS author,
+          2015 + CAST((work_size + CASE WHEN p_partkey % 8 = 1 THEN 5 ELSE p_partkey % 2 END) % 10 AS int) AS year,
           CASE WHEN p_size % 4 = 0 THEN NULL WHEN p_size % 4 = 1 THEN '10.20944/preprints' || CAST(p_size AS varchar(9)) || '.v' || CAST(p_partkey % 3 AS varchar(9))
             WHEN p_size % 4 = 2 THEN '10.48550/arxiv.2301.' || lpad(CAST(p_size AS varchar(9)), 5, '0') ELSE '10.1016/j.' || CAST(p_size * 3 AS varchar(9)) END AS doi,
           CASE WHEN p_size % 3 = 1 THEN CASE WHEN p_size % 4 = 2 THEN 'arXiv' ELSE 'Journal of ' || p_type END ELSE NULL END AS journal,
           CASE WHEN p_size % 3 = 2 THEN 'Proceedings of the ' || p_brand || ' Workshop' ELSE NULL END AS booktitle,
           CASE WHEN p_size % 3 = 0 THEN 'Tech report' ELSE NULL END AS howpublished,
           CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS varchar(9)) ELSE NULL END AS volume,
-          CASE WHEN p_partkey % 5 = 0 THEN 'S' || CAST(p_size % 6 AS varchar(9)) ELSE NULL END AS s2_id
-        FROM {{part}}""",
+          CASE WHEN p_partkey % 5 = 0 THEN 'S' || CAST(p_size % 6 AS varchar(9)) ELSE NULL END AS s2_id,
+          CASE WHEN p_size % 5 = 1 THEN 'arXiv' ELSE NULL END AS archiveprefix,
+          CASE WHEN p_size % 5 < 2 THEN '2301.' || lpad(CAST(work_size AS varchar(9)), 5, '0') || CASE WHEN p_size % 2 = 0 THEN 'v2' ELSE '' END ELSE NULL END AS eprint
+        FROM {{part}} JOIN (SELECT p_partkey AS work_id, {_TITLE} AS work, p_size AS work_size FROM {{part}}) AS works
+          ON work_id = p_partkey - CASE WHEN p_partkey > 3 THEN p_partkey % 3 ELSE 0 END""",
     "v_entries": f"""
         SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'article' WHEN 1 THEN 'inproceedings' WHEN 2 THEN 'misc' ELSE 'article' END AS type,
           p_name || {_MARKS} AS title, {_name('p_size')} || CASE WHEN p_size % 6 = 0 THEN ' <a.b@c.org> and' ELSE '' END AS author,
@@ -88,12 +96,13 @@ VIEWS = {
             WHEN 4 THEN 'US Patent 10,' || lpad(CAST(o_orderkey % 1000 AS varchar(9)), 3, '0') || ',713, ' || CAST(year(o_orderdate) AS varchar(9))
             ELSE 'Sage, ' || CAST(year(o_orderdate) AS varchar(9)) END AS publication
         FROM {{orders}} JOIN {{part}} ON o_orderkey % (SELECT count(*) FROM {{part}}) = p_partkey""",
-    "v_pairs": """
+    "v_pairs": f"""
         SELECT l.id AS lid, r.id AS rid, l.dir AS dir, l.key AS lkey, r.key AS rkey, l.title AS ltitle, r.title AS rtitle,
           l.author AS lauthor, r.author AS rauthor, l.year AS lyear, r.year AS ryear, l.doi AS ldoi, r.doi AS rdoi,
           l.journal AS ljournal, r.journal AS rjournal, l.s2_id AS ls2, r.s2_id AS rs2,
-          coalesce(l.journal, l.booktitle, l.howpublished) AS lvenue, coalesce(r.journal, r.booktitle, r.howpublished) AS rvenue
-        FROM {v_files} l JOIN {v_files} r ON l.dir = r.dir AND l.brand = r.brand AND l.id < r.id""",
+          coalesce(l.journal, l.booktitle, l.howpublished) AS lvenue, coalesce(r.journal, r.booktitle, r.howpublished) AS rvenue,
+          {_ARXIV.replace('#', 'l')} AS larxiv, {_ARXIV.replace('#', 'r')} AS rarxiv
+        FROM {{v_files}} l JOIN {{v_files}} r ON l.dir = r.dir AND l.id < r.id""",
 }
 
 
