@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,6 +14,19 @@ PUNCTUATION = r"[,.;:!?\n\t\r'\"\-()\[\]{}~]"
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
+def latex_macros() -> dict[str, str]:
+    """Letters up to U+024F with the macro that writes each: base letter and mark by their decomposition."""
+    marks = dict(zip("\u0300\u0301\u0302\u0303\u0308\u0304\u0307", "`'^~\"=.")) | dict(zip("\u030a\u030b\u030c\u0306\u0327\u0328\u0323", "rHvuckd"))
+    out = {"ß": r"{\ss}", "ø": r"{\o}", "Ø": r"{\O}", "æ": r"{\ae}", "Æ": r"{\AE}", "œ": r"{\oe}", "Œ": r"{\OE}", "ł": r"{\l}", "Ł": r"{\L}", "ı": r"{\i}"}
+    for point in range(0xC0, 0x250):
+        parts = unicodedata.normalize("NFD", chr(point))
+        if len(parts) == 2 and parts[1] in marks:
+            mark = marks[parts[1]]
+            base = "\\" + parts[0] if parts[0] in "ij" and mark not in "ckd" else parts[0]  # without its dot
+            out[chr(point)] = f"{{\\{mark}{{{base}}}}}" if mark.isalpha() else f"{{\\{mark}{base}}}"
+    return out
+
+
 def text(c: str | Column) -> Column:
     """The column, with null as the empty string."""
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
@@ -106,8 +120,12 @@ def sanitize_title(c: str | Column) -> Column:
 
 
 def ascii_field(c: str | Column) -> Column:
-    """Typographic quotes and dashes as ASCII, accents off, ampersands escaped once."""
+    """Typographic quotes and dashes as ASCII, accented letters as macros (macros that are there stay as they are),
+    ampersands escaped once. Letters without a macro lose their marks."""
     s = F.translate(text(c), "‘’“”–—", "''\"\"--")
+    macros = F.create_map(*[F.lit(x) for pair in latex_macros().items() for x in pair])
+    letters = F.transform(F.split(s, ""), lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), F.coalesce(F.try_element_at(macros, x), x)).otherwise(x))
+    s = F.when(s.rlike(r"[^\x00-\x7F]"), F.array_join(letters, "")).otherwise(s)
     return F.regexp_replace(strip_accents(s), r"(?<!\\)&", r"\\&")
 
 

@@ -45,9 +45,75 @@ class Dialect:
         return f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in pairs) + f" ELSE {other} END"
 
 
+    def words(self, c: str, by: str = " ") -> str:
+        return f"{'split' if self.name == 'spark' else 'string_split'}({c}, '{by}')"
+
+    def each(self, items: str, var: str, body: str) -> str:
+        return f"transform({items}, {var} -> {body})" if self.name == "spark" else f"list_transform({items}, lambda {var}: {body})"
+
+    def every(self, items: str, var: str, test: str) -> str:
+        if self.name == "spark":
+            return f"forall({items}, {var} -> {test})"
+        return f"len(list_filter({items}, lambda {var}: NOT ({test}))) = 0"
+
+    def joined(self, items: str, by: str) -> str:
+        return f"{'array_join' if self.name == 'spark' else 'array_to_string'}({items}, '{by}')"
+
+    def end(self, items: str, at: int) -> str:
+        return f"element_at({items}, {at})" if self.name == "spark" else f"({items})[{at}]"
+
+
 SPARK, DUCK = Dialect("spark"), Dialect("duckdb")
 
 
+def _capital(w: str) -> str:
+    return f"(upper(substring({w}, 1, 1)) || lower(substring({w}, 2)))"
+
+
+def trimmed_title(d: Dialect, c: str) -> str:
+    """A title without artefacts before it and up to two dots or stars after it; one in capitals gets title case."""
+    s = f"trim({d.replace(f'trim({c})', '^Check for [uU]pdates ', '')})"
+    bare = d.replace(f"rtrim({d.replace(s, '[*]+$', '')})", "([^.])[.][.]?$", r"\1")
+    kept = f"CASE WHEN {d.like(s, '([.][.][.]|…)$')} THEN {s} ELSE rtrim({bare}) END"
+    parts = d.joined(d.each(d.words("w", "-"), "p", f"CASE WHEN length(p) > 1 THEN {_capital('p')} ELSE p END"), "-")
+    small = ", ".join(f"'{w}'" for w in policy.SMALL_WORDS)
+    word = (f"CASE WHEN contains(w, '-') THEN {parts} WHEN {d.like('w', '^[(]|^\\[')} THEN substring(w, 1, 1) || {_capital('substring(w, 2)')}"
+            f" WHEN lower(w) IN ({small}) THEN lower(w) ELSE {_capital('w')} END")
+    cased = d.joined(d.each(d.words(d.replace(kept, r"\s+", " ")), "w", word), " ")
+    letters, capitals = (f"length({d.replace(kept, f'[^{k}]', '')})" for k in ("A-Za-z", "A-Z"))
+    return f"CASE WHEN {capitals} > 0.6 * {letters} THEN upper(substring({cased}, 1, 1)) || substring({cased}, 2) ELSE {kept} END"
+
+
+def fixed_title(d: Dialect, c: str) -> str:
+    """A title with fused compounds parted, blanks around colons and hyphens mended, and acronyms in their case."""
+    out = c
+    for suffix in policy.COMPOUND_SUFFIXES:
+        out = d.replace(out, rf"\b([A-Z][a-z][a-z][a-z]+){suffix}\b", rf"\1-{suffix.capitalize()}")
+    out = d.replace(out, r"([^\s]):([A-Z])", r"\1: \2" if d.name != "spark" else "$1: $2")
+    for word in ("and", "or", "to"):  # "pre- and post-" keeps its blank
+        out = f"replace({out}, '- {word} ', '-' || chr(1) || '{word} ')"
+    out = d.replace(out, r"(\w)- ", r"\1-")
+    out = d.replace(f"replace({out}, chr(1), ' ')", r"(\w) -(\w)", r"\1-\2" if d.name != "spark" else "$1-$2")
+    for wrong, right in policy.ACRONYM_CASE.items():
+        out = d.replace(out, rf"\b{wrong}\b", right)
+    return out
+
+
+def cased_author(d: Dialect, c: str) -> str:
+    """Names in capitals or lower case with capitals at their start; initials stay where the whole list has them."""
+    names = d.words(f"replace(replace({c}, ' and And ', ' and '), ' And ', ' and ')", " and ")
+    tokens = lambda n: d.words(d.replace(f"trim({n})", r"\s+", " "))
+    last, first = (lambda n: d.end(tokens(n), -1)), (lambda n: d.end(tokens(n), 1))
+    capitals = lambda w: f"({w} = upper({w}) AND {w} <> lower({w}))"
+    mixed = f"NOT ({d.every(tokens('n'), 'x', f'NOT ({d.like('x', '^[A-Z][A-Za-z]+$')} AND x <> upper(x))')})"
+    trailing, leading = d.every(names, "m", d.like(last("m"), "^[A-Z][A-Z]?$")), d.every(names, "m", d.like(first("m"), "^[A-Z][A-Z]?[A-Z]?$"))
+    token = (f"CASE WHEN {d.like('w', '^[^A-Za-zÀ-ÿ]')} OR w = '' THEN w WHEN ({trailing}) AND w = {last('n')} THEN w WHEN ({leading}) AND w = {first('n')} THEN w"
+             f" WHEN length(w) > 2 AND {capitals('w')} OR length(w) = 2 AND {capitals('w')} AND w = {last('n')} AND {mixed}"
+             f" OR length(w) > 1 AND substring(w, 1, 1) = lower(substring(w, 1, 1)) THEN {_capital('w')} ELSE w END")
+    one = f"CASE WHEN contains(trim(n), ' ') THEN {d.joined(d.each(tokens('n'), 'w', token), ' ')} ELSE trim(n) END"
+    return d.joined(d.each(names, "n", one), " and ")
+
+
 def rules(d: Dialect) -> dict[str, tuple[str, dict[str, str]]]:
     t = lambda c: f"trim(coalesce({c}, ''))"
     low = lambda c: f"lower({t(c)})"
@@ -119,29 +185,38 @@ def rules(d: Dialect) -> dict[str, tuple[str, dict[str, str]]]:
         "conference_howpublished": (f"type = 'misc' AND {h} <> '' AND {d.any_in(h, policy.CONFERENCE_WORDS)} AND NOT {named(h)} AND NOT {d.any_in(h, policy.PREPRINT_SERVERS)} AND NOT {d.any_in(h, policy.REPOSITORIES)} AND {h} <> lower({inferred})", {"type": "'inproceedings'", "booktitle": "howpublished", "howpublished": "NULL"}),
         "preprint_publisher": (f"{low('publisher')} IN ({', '.join(repr(p) for p in policy.PREPRINT_PUBLISHERS)}) AND {j} <> '' AND NOT {server_j}", {"publisher": "NULL"}),
         "note": ("note IS NOT NULL", {"note": "NULL"}),
+        "spire_suffix": (f"contains({b}, 'spire')", {"booktitle": d.replace("booktitle", r"\s*:\s*SPIRE\b.*$", "")}),
+        # a fixed value: the publisher's name with its umlaut
+        "zentrum_umlaut": ("contains(coalesce(publisher, ''), 'Zentrum fur Informatik')", {"publisher": "replace(publisher, 'Zentrum fur Informatik', 'Zentrum f{' || chr(92) || '\"u}r Informatik')"}),
+        "title_text": (f"{t('title')} <> ''", {"title": fixed_title(d, "title")}),
+        "caps_title": (f"{t('title')} <> ''", {"title": trimmed_title(d, "title")}),
+        "author_case": (f"{t('author')} <> ''", {"author": cased_author(d, "author")}),
     }
     return out
 
 
+# Rules that are several others, one after the other.
+CHAINS = {"title_chain": ("caps_title", "bracket_j", "preprint_marker", "title_text", "trailing_dash", "subtitle_wrapper")}
+
 # The order of the rules in each stage.
 STAGES = {
     "load_repair": (
         "note", "preprint_journal_load", "author_email", "bracket_j", "ellipsis", "venue_full", "venue_case",
-        "publisher_is_container", "trailing_dash", "subtitle_wrapper", "osf_version", "pages_in_booktitle", "proceedings_twice",
-        "conference_journal", "unpublished_load", "patent", "repository_journal", "university_journal",
+        "publisher_is_container", "trailing_dash", "subtitle_wrapper", "spire_suffix", "osf_version", "zentrum_umlaut",
+        "pages_in_booktitle", "proceedings_twice", "caps_title", "conference_journal", "unpublished_load", "patent", "repository_journal", "university_journal",
         "procedia_to_inproceedings", "pacm_to_article", "named_proceedings_to_article", "thesis_repository",
         "repository_booktitle", "preprint_booktitle", "inferred_booktitle", "journal_prefix", "handbook", "chapter_doi",
-        "preprint_marker", "booktitle_fixups", "venue_urls", "publisher_table", "secondary_doi_of_article",
-        "backfill_howpublished", "normalize_howpublished", "qualify_arxiv", "publisher_is_container",
+        "preprint_marker", "title_text", "booktitle_fixups", "venue_urls", "publisher_table", "secondary_doi_of_article",
+        "backfill_howpublished", "author_case", "normalize_howpublished", "qualify_arxiv", "publisher_is_container",
     ),
     "post_merge": (
         "note", "article_without_journal", "inproceedings_without_booktitle", "preprint_journal", "ellipsis",
         "conference_journal", "procedia_to_inproceedings", "pacm_to_article", "named_proceedings_to_article",
         "thesis_repository", "patent", "unpublished", "url_booktitle", "preprint_booktitle", "inferred_booktitle",
         "journal_prefix", "handbook", "chapter_doi", "repository_journal", "repository_booktitle", "university_journal",
-        "article_with_preprint_doi", "backfill_howpublished", "bracket_j", "preprint_marker", "subtitle_wrapper",
-        "trailing_dash", "booktitle_fixups", "venue_full", "venue_case", "publisher_is_container", "osf_version",
-        "pages_in_booktitle", "proceedings_twice", "venue_urls", "publisher_table", "normalize_howpublished",
+        "article_with_preprint_doi", "backfill_howpublished", "title_chain", "trailing_dash", "booktitle_fixups", "venue_full",
+        "venue_case", "publisher_is_container", "spire_suffix", "osf_version", "zentrum_umlaut", "pages_in_booktitle",
+        "proceedings_twice", "venue_urls", "publisher_table", "author_case", "normalize_howpublished",
         "qualify_arxiv", "conference_howpublished",
     ),
     "postrun": (
@@ -156,10 +231,14 @@ STAGES = {
 }
 
 
+def _unchained(names) -> list[str]:
+    return [x for name in names for x in CHAINS.get(name, (name,))]
+
+
 def apply(entries: DataFrame, names) -> DataFrame:
     """`entries` after the named rules in order; other columns pass."""
     table = rules(SPARK)
-    for name in names:
+    for name in _unchained(names):
         guard, values = table[name]
         changed = {c: F.expr(f"CASE WHEN {guard} THEN {v} ELSE {c} END") for c, v in values.items()}
         entries = entries.withColumns(changed)
@@ -174,7 +253,7 @@ def oracle(names, source: str, keys: str) -> str:
     """SQL text of the same rules as nested subqueries."""
     table = rules(DUCK)
     sql = f"SELECT {keys}, {', '.join(COLUMNS)} FROM {source}"
-    for name in names:
+    for name in _unchained(names):
         guard, values = table[name]
         cols = [f"CASE WHEN {guard} THEN {values[c]} ELSE {c} END AS {c}" if c in values else c for c in COLUMNS]
         sql = f"SELECT {keys}, {', '.join(cols)} FROM ({sql})"

@@ -6,7 +6,7 @@ from lectern.operators import rules
 
 from .registry import query
 
-for _name in rules.rules(rules.DUCK):
+for _name in [*rules.rules(rules.DUCK), *rules.CHAINS]:
     query(f"rule_{_name}", "v_entries", sql=rules.oracle([_name], "v_entries", "id"))(
         lambda t, n=_name: rules.apply(t, [n]).select("id", *rules.COLUMNS)
     )

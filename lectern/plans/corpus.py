@@ -21,7 +21,7 @@ def _document(t: DataFrame):
 
 
 def _line(name: str, raw: bool = False) -> str:
-    value = f"CAST({name} AS VARCHAR)" if raw else o.strip_accents(f"CAST({name} AS VARCHAR)")
+    value = f"CAST({name} AS VARCHAR)" if raw else o.latex(f"CAST({name} AS VARCHAR)")
     return f"CASE WHEN {name} IS NOT NULL THEN ',' || chr(10) || '  {name} = {{' || {value} || '}}' ELSE '' END"
 
 
@@ -33,7 +33,7 @@ def to_bibtex(t: DataFrame) -> DataFrame:
     return t.select("id", _document(t).alias("document"))
 
 
-@query("scan_bibtex", "v_files", sql=f"SELECT id, type, key, {o.strip_accents('title')} AS title, {o.strip_accents('author')} AS author, CAST(year AS VARCHAR) AS year, coalesce(doi, '') AS doi FROM v_files")
+@query("scan_bibtex", "v_files", sql=f"SELECT id, type, key, {o.latex('title')} AS title, {o.latex('author')} AS author, CAST(year AS VARCHAR) AS year, coalesce(doi, '') AS doi FROM v_files")
 def scan_bibtex(t: DataFrame) -> DataFrame:
     docs = t.select("id", F.concat(F.lit('@comment{x}\n@string{y = "' ), F.lit('z"}\n'), _document(t)).alias("text"))
     f = lambda n: F.coalesce(F.col("fields")[n], F.lit("")).alias(n)

