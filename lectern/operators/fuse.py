@@ -114,6 +114,31 @@ def fold_field(records: DataFrame, field: str) -> DataFrame:
     return _fold(records, field, GUARDS[field])
 
 
+def fold_all(records: DataFrame, fields=tuple(GUARDS)) -> DataFrame:
+    """(work_id, each field and its source): all guarded folds over one shuffle by work."""
+    item = F.struct("seq", "source_rank", "source", *fields)
+    visits = records.groupBy("work_id").agg(F.array_sort(F.collect_list(item)).alias("visits"))
+
+    def last(field: str) -> Column:
+        items = F.filter(
+            F.transform("visits", lambda v: F.struct(v["seq"].alias("seq"), v["source_rank"].alias("source_rank"), v[field].alias("value"), v["source"].alias("source"))),
+            lambda v: ~text.is_placeholder(v["value"]),
+        )
+        return F.when(F.size(items) > 0, F.aggregate(
+            F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(1))), F.get(items, F.lit(0)),
+            lambda now, new: F.when(GUARDS[field](now, new), new).otherwise(now),
+        ))
+
+    found = visits.select("work_id", *[last(f).alias(f) for f in fields])
+    return found.select("work_id", *[x for f in fields for x in (F.col(f)["value"].alias(f), F.col(f)["source"].alias(f"{f}_source"))])
+
+
+def entries(records: DataFrame) -> DataFrame:
+    """One whole entry per work: free, version and DOI fields as `fuse` elects them, guarded fields by their folds."""
+    guarded = fold_all(records)
+    return fuse(records).drop("booktitle", "booktitle_source").join(guarded, "work_id")
+
+
 def provenance(records: DataFrame, fields=("doi", *FREE_FIELDS)) -> DataFrame:
     """(work_id, field, seq, source, value, selected): every value that stood for election; one is selected."""
     long = records.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,6 +42,18 @@ def scan_bibtex(t: DataFrame) -> DataFrame:
     return bibtex.parse(docs, "id", "text").select("id", "type", "key", f("title"), f("author"), f("year"), f("doi"))
 
 
+@query("scan_directory", "v_files", sql=f"SELECT path, dir, type, key, {o.latex('title')} AS title, CAST(year AS VARCHAR) AS year FROM v_files")
+def scan_directory(t: DataFrame) -> DataFrame:
+    """Documents written below a folder, one a file, and read back by a scan of that folder."""
+    from lectern.operators.cluster import shared_dir
+
+    root = f"{shared_dir(t.sparkSession)}/documents-{uuid.uuid4().hex}"
+    docs = t.select("path", _document(t).alias("document"))
+    bibtex.write_directory(docs, root)
+    found = bibtex.scan_directory(t.sparkSession, root)
+    return found.select("path", "dir", "type", "key", F.col("fields")["title"].alias("title"), F.col("fields")["year"].alias("year"))
+
+
 @query("scan_bibtex_strict", "v_files", sql="SELECT id, CASE id % 4 WHEN 1 THEN 'directive' WHEN 2 THEN 'entry_count' WHEN 3 THEN 'duplicate_field,field' ELSE '' END AS violations FROM v_files")
 def scan_bibtex_strict(t: DataFrame) -> DataFrame:
     doc = _document(t)

@@ -199,8 +199,28 @@ def merge_type(t: DataFrame) -> DataFrame:
     return t.groupBy("work_id").agg(F.max_by("type", F.struct(-F.col("source_rank"), "seq")).alias("type"))
 
 
+_ACCEPT = {
+    "title": "CASE WHEN len(b.v) < len(a.v) * 0.7 THEN a.r - b.r >= 3 ELSE a.r - b.r >= 1 END",
+    "author": "CASE WHEN len(string_split(b.v, ' and ')) < len(string_split(a.v, ' and ')) THEN a.r - b.r >= 3 ELSE a.r - b.r >= 1 END",
+    "journal": f"CASE WHEN {o.is_server('a.v')} = {o.is_server('b.v')} THEN a.r - b.r >= 1 ELSE {o.is_server('a.v')} END",
+    "booktitle": "CASE WHEN (lower(a.v) LIKE 'lecture notes in computer science') = (lower(b.v) LIKE 'lecture notes in computer science') THEN a.r - b.r >= 1 ELSE lower(a.v) LIKE 'lecture notes in computer science' END",
+}
+
+
+def _fold_sql(f: str) -> str:
+    return (f"SELECT work_id, w.v AS {f}, w.s AS source FROM (SELECT work_id, list_reduce(list({{'r': source_rank, 'v': {f}, 's': source}} ORDER BY seq), lambda a, b: CASE WHEN {_ACCEPT[f]} THEN b ELSE a END) AS w"
+            f" FROM v_records WHERE NOT {_P(f)} GROUP BY work_id)")
+
+
 for _field in fuse.GUARDS:
-    query(f"merge_{_field}", "v_records")(lambda t, f=_field: fuse.fold_field(t, f))
+    query(f"merge_{_field}", "v_records", sql=_fold_sql(_field))(lambda t, f=_field: fuse.fold_field(t, f))
+
+
+@query("fused_entries", "v_records", sql="SELECT w.work_id, " + ", ".join(f"{f}.{f}, {f}.source AS {f}_source" for f in fuse.GUARDS) + " FROM (SELECT DISTINCT work_id FROM v_records) w "
+       + " ".join(f"LEFT JOIN ({_fold_sql(f)}) {f} ON w.work_id = {f}.work_id" for f in fuse.GUARDS))
+def fused_entries(t: DataFrame) -> DataFrame:
+    whole = fuse.entries(t)
+    return whole.select("work_id", *[x for f in fuse.GUARDS for x in (f, f"{f}_source")])
 
 
 @query("provenance", "v_records", sql=f"""WITH l AS (SELECT work_id, seq, source, source_rank, unnest([{{'field': 'doi', 'value': doi}}, {{'field': 'booktitle', 'value': booktitle}}, {{'field': 'pages', 'value': pages}}], recursive := true) FROM v_records)

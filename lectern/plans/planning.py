@@ -120,9 +120,21 @@ def round_budget(t: DataFrame) -> DataFrame:
     return t.groupBy("namespace").agg(F.count("*").alias("planned")).withColumn("rounds", F.least(F.lit(9 + 3) + F.col("planned") % 60, F.lit(64).cast("long")))
 
 
-@query("publication_gate", "v_log", sql="SELECT event_id, CASE WHEN event_id % 2 = 0 AND value < 1 THEN 'INCOMPLETE' WHEN event_id % 3 = 0 THEN 'DIGEST_MISMATCH' WHEN user_id = 7 THEN 'NOT_MERGED' ELSE 'PUBLISH' END AS gate FROM v_log")
+# a user's log as a generation: answered requests make its manifest, what was offered leaves refunds out
+_GENERATIONS = """SELECT user_id, max(value) > 30 AS complete, CAST(sum(CASE WHEN value < 0.3 THEN 1 ELSE 0 END) AS bigint) AS unresolved,
+ CASE WHEN min(value) < 1.5 THEN '' ELSE {sha}(CAST(sum(event_id) AS varchar(40)){bits}) END AS completed, {sha}(CAST(sum(CASE WHEN value < 90 THEN event_id ELSE 0 END) AS varchar(40)){bits}) AS manifest,
+ {sha}(CAST(sum(CASE WHEN namespace <> 'refund' OR value > 8 THEN event_id ELSE 0 END) AS varchar(40)){bits}) AS candidate FROM {log} GROUP BY user_id"""
+
+
+@query("publication_gate", "v_log", sql=f"""WITH g AS ({_GENERATIONS.format(sha='sha256', bits='', log='v_log')})
+SELECT user_id, CASE WHEN NOT complete THEN 'GENERATION_INCOMPLETE' WHEN unresolved > 0 THEN 'UNRESOLVED_WORK:' || unresolved WHEN length(completed) <> 64 THEN 'NO_COMPLETED_MANIFEST'
+ WHEN manifest <> completed THEN 'MANIFEST_MISMATCH' WHEN candidate <> completed THEN 'CANDIDATE_MISMATCH' ELSE 'PUBLISH' END AS gate FROM g""")
 def publication_gate(t: DataFrame) -> DataFrame:
-    return t.select("event_id", F.when((F.col("event_id") % 2 == 0) & (F.col("value") < 1), "INCOMPLETE").when(F.col("event_id") % 3 == 0, "DIGEST_MISMATCH").when(F.col("user_id") == 7, "NOT_MERGED").otherwise("PUBLISH").alias("gate"))
+    from lectern.operators.publish import candidate_block
+
+    g = t.sparkSession.sql(_GENERATIONS.format(sha="sha2", bits=", 256", log="{log}"), log=t)
+    reason = candidate_block(*[F.col(c) for c in ("complete", "unresolved", "completed", "manifest", "candidate")])
+    return g.select("user_id", F.coalesce(reason, F.lit("PUBLISH")).alias("gate"))
 
 
 @query("checkpoint_retention", "v_log", sql="SELECT namespace, event_id FROM (SELECT namespace, event_id, row_number() OVER (PARTITION BY namespace ORDER BY event_id DESC) AS n FROM v_log) WHERE n <= 2")

@@ -23,6 +23,47 @@ for _name, _json, _venue in (("crossref", _CROSSREF, "booktitle"), ("openalex",
     )
 
 
+# bodies of providers, built from the records; fields that a provider has not are left out
+_NAME_LIST = """array_join(transform(split(author, ' and '), n -> '{{"{0}":"' || n || '"}}'), ',')"""
+_BODIES = {
+    "pubmed": "'{\"title\":\"' || title || '\",\"pubdate\":\"' || year || ' Jan 3\",\"elocationid\":\"doi: ' || coalesce(doi, 'none') || '\",\"source\":\"' || coalesce(journal, '') || '\",\"volume\":\"' || coalesce(volume, '') || '\",\"pubtype\":[\"Journal Article\"],\"authors\":[' || names || ']}'",
+    "europepmc": "'{\"title\":\"' || title || '\",\"pubYear\":\"' || year || '\",\"journalTitle\":\"' || coalesce(journal, '') || '\",\"pageInfo\":\"1-9\",\"authorString\":\"' || replace(replace(author, ',', ''), ' and ', ', ') || '.\"}'",
+    "csl": "'{\"type\":\"' || CASE type WHEN 'article' THEN 'article-journal' WHEN 'inproceedings' THEN 'paper-conference' ELSE 'report' END || '\",\"title\":\"' || title || '\",\"DOI\":\"' || upper(coalesce(doi, '')) || '\",\"issued\":{\"date-parts\":[[' || year || ',4]]},\"container-title\":\"' || coalesce(journal, booktitle, '') || '\"}'",
+}
+
+
+@query("build_pubmed", "v_files", sql="SELECT id, 'article' AS type, title, author, CAST(year AS VARCHAR) AS year, lower(doi) AS doi, journal, volume FROM v_files")
+def build_pubmed(t: DataFrame) -> DataFrame:
+    named = t.withColumn("names", F.expr(_NAME_LIST.format("name")))
+    return providers.built(named.select("id", F.expr(_BODIES["pubmed"]).alias("body")), "pubmed").select("id", "type", "title", "author", "year", "doi", "journal", "volume")
+
+
+@query("build_europepmc", "v_files", sql="SELECT id, CASE WHEN contains(lower(journal), 'journal') THEN 'article' ELSE 'misc' END AS type, title, replace(author, ',', '') AS author, CAST(year AS VARCHAR) AS year, CASE WHEN contains(lower(journal), 'journal') THEN journal END AS journal, '1-9' AS pages FROM v_files")
+def build_europepmc(t: DataFrame) -> DataFrame:
+    return providers.built(t.select("id", F.expr(_BODIES["europepmc"]).alias("body")), "europepmc").select("id", "type", "title", "author", "year", "journal", "pages")
+
+
+@query("csl_to_entry", "v_files", sql="SELECT id, CASE WHEN type IN ('article', 'inproceedings') THEN type ELSE 'misc' END AS type, title, lower(doi) AS doi, CAST(year AS VARCHAR) AS year, CASE type WHEN 'article' THEN journal END AS journal, CASE type WHEN 'inproceedings' THEN booktitle END AS booktitle FROM v_files")
+def csl_to_entry(t: DataFrame) -> DataFrame:
+    return providers.built(t.select("id", F.expr(_BODIES["csl"]).alias("body")), "csl").select("id", "type", "title", "doi", "year", "journal", "booktitle")
+
+
+_DAMAGED = """'{"DOI":' || CASE WHEN p_size % 5 = 1 THEN '7' ELSE '"10.1/x"' END || ',"title":' || CASE p_size % 7 WHEN 1 THEN '"x"' WHEN 2 THEN '[" "]' WHEN 3 THEN '[]' WHEN 4 THEN '[1]' ELSE '["' || p_name || '"]' END
+ || ',"author":' || CASE p_size % 3 WHEN 0 THEN 'null' WHEN 1 THEN '[{"given":"A","family":' || CASE WHEN p_size % 2 = 0 THEN '5' ELSE '"B"' END || '}]' ELSE '{}' END
+ || ',"issued":{"date-parts":[[' || CASE WHEN p_size % 11 = 0 THEN '"2020"' ELSE '2020' END || ']]}}'"""
+
+
+@query("record_faults", "part", sql=f"""WITH b AS (SELECT p_partkey AS id, {_DAMAGED} AS j FROM part)
+SELECT id, array_to_string(list_filter(['$.DOI', '$.author', '$.issued', '$.title'], lambda p: CASE p
+  WHEN '$.DOI' THEN json_type(j, '$.DOI') <> 'VARCHAR'
+  WHEN '$.author' THEN json_type(j, '$.author') NOT IN ('NULL', 'ARRAY') OR coalesce(json_type(j, '$.author[0].family'), 'VARCHAR') <> 'VARCHAR'
+  WHEN '$.issued' THEN json_type(j, '$.issued.date-parts[0][0]') = 'VARCHAR'
+  ELSE json_type(j, '$.title') <> 'ARRAY' OR coalesce(json_type(j, '$.title[0]'), '') <> 'VARCHAR' OR trim(json_extract_string(j, '$.title[0]')) = '' END), ',') AS faults FROM b""")
+def record_faults(t: DataFrame) -> DataFrame:
+    found = providers.faults(F.try_parse_json(F.expr(_DAMAGED)), "crossref")
+    return t.select(F.col("p_partkey").alias("id"), F.array_join(found, ",").alias("faults"))
+
+
 @query("json_list_decode", "v_log", sql="SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 4 AS items, CAST(json_extract_string(props, '$.k') AS BIGINT) % 4 <= 2 AS counted FROM v_log")
 def json_list_decode(t: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long") % 4
@@ -46,14 +87,6 @@ def xml_atom_entries(t: DataFrame) -> DataFrame:
     return t.select("id", F.explode(providers.atom_entries(xml)).alias("e")).select("id", F.col("e.id").alias("arxiv"), "e.title", "e.year")
 
 
-@query("csl_to_entry", "v_files", sql="SELECT id, CASE WHEN type = 'article' THEN 'article' WHEN type = 'inproceedings' THEN 'inproceedings' ELSE 'misc' END AS type, title, coalesce(doi, '') AS doi FROM v_files WHERE doi IS NOT NULL")
-def csl_to_entry(t: DataFrame) -> DataFrame:
-    registry = t.where("doi is not null").select(
-        F.col("id").alias("rid"), F.when(F.col("type") == "article", "article-journal").when(F.col("type") == "inproceedings", "paper-conference").otherwise("report").alias("kind"), F.col("title").alias("csl_title"))
-    kind = F.when(F.col("kind") == "article-journal", "article").when(F.col("kind") == "paper-conference", "inproceedings").otherwise("misc")
-    return t.join(registry, t["id"] == registry["rid"]).select("id", kind.alias("type"), F.col("csl_title").alias("title"), text.text("doi").alias("doi"))
-
-
 @query("parse_description", "v_files", sql="SELECT id, author AS authors, coalesce(journal, booktitle, howpublished) AS venue, CAST(year AS VARCHAR) AS year, 'x.org' AS domain FROM v_files")
 def parse_description(t: DataFrame) -> DataFrame:
     c = F.concat("author", F.lit(" - "), F.coalesce("journal", "booktitle", "howpublished"), F.lit(", "), F.col("year").cast("string"), F.lit(" - x.org"))

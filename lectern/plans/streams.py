@@ -19,10 +19,14 @@ def token_bucket(t: DataFrame) -> DataFrame:
     return limits.token_bucket(t, 0.00005, 2.0)
 
 
-@query("cache_fresh", "v_log", sql="SELECT event_id, ts >= TIMESTAMP '2024-01-02 00:00:00' AS fresh FROM v_log")
-def cache_fresh(t: DataFrame, now: str = "2024-01-02 05:00:00") -> DataFrame:
-    # a day boundary in the fixed zone UTC-4 would be 04:00; the replayed clock keeps the boundary in UTC
-    return t.select("event_id", (F.col("ts") >= F.date_trunc("day", F.lit(now).cast("timestamp_ntz"))).alias("fresh"))
+_NOW = "TIMESTAMP '2024-02-01 02:30:00'"
+
+
+@query("cache_fresh", "v_log", sql=f"""SELECT event_id, ts - INTERVAL 4 HOUR >= date_trunc('month', {_NOW} - INTERVAL 4 HOUR) AS fresh,
+ strftime(least(CAST(date_trunc('month', ts - INTERVAL 4 HOUR) + INTERVAL 1 MONTH AS TIMESTAMP), CAST(date_trunc('week', ts - INTERVAL 4 HOUR) + INTERVAL 7 DAY AS TIMESTAMP)) + INTERVAL 4 HOUR, '%Y-%m-%d %H:%M') AS negative_until FROM v_log""")
+def cache_fresh(t: DataFrame) -> DataFrame:
+    now = F.expr(_NOW.replace("TIMESTAMP", "TIMESTAMP_NTZ"))
+    return t.select("event_id", limits.fresh("ts", now).alias("fresh"), F.date_format(limits.negative_expiry("ts"), "yyyy-MM-dd HH:mm").alias("negative_until"))
 
 
 @query("negative_confirm", "v_log", sql="""WITH i AS (SELECT *, sum(ok::INT) OVER (PARTITION BY namespace, user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM v_log)

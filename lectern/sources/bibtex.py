@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern import policy
@@ -154,3 +154,49 @@ def serialize(kind: Column, key: Column, fields: dict[str, Column]) -> Column:
         shown = value if name in RAW else ascii_field(value)
         lines.append(F.when(value != "", F.concat(F.lit(f"  {name} = {{"), shown, F.lit("}"))))
     return F.concat(F.lit("@"), kind, F.lit("{"), key, F.lit(",\n"), F.concat_ws(",\n", *lines), F.lit("\n}\n"))
+
+
+def write_directory(docs: DataFrame, root: str) -> None:
+    """Writes each row of (path, document) as a file of its own below `root`, through the file system that `root` names.
+    A task that runs again writes the same bytes to the same paths."""
+    from pyarrow import fs as arrow_fs
+
+    uri = root if "://" in root else "file://" + root.removeprefix("file:")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, base = arrow_fs.FileSystem.from_uri(uri)
+        n = 0
+        for batch in batches:
+            for path, document in zip(batch["path"], batch["document"]):
+                full = f"{base}/{path}"
+                where.create_dir(full.rsplit("/", 1)[0], recursive=True)
+                with where.open_output_stream(full) as out:
+                    out.write(document.encode())
+                n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    docs.select("path", "document").mapInPandas(run, "n long").agg(F.sum("n")).collect()  # one number
+
+
+def scan_directory(spark: SparkSession, root: str, pattern: str = "*.bib") -> DataFrame:
+    """(path, dir, type, key, fields, violations) of every document below `root`, through Spark's own reader: any file
+    system, hidden files and other names left out, each file whole and read by one task among all. Paths are below
+    `root`; a file that is no entry has a null type; an empty folder gives no rows."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
+    rest = F.substring_index(F.col("_metadata.file_path"), "/" + root.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
+    docs = files.select(F.url_decode(F.replace(rest, F.lit("+"), F.lit("%2B"))).alias("path"), F.col("value").alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, t in zip(batch["path"], batch["text"]):
+                try:
+                    first = next(entries(t or ""), None)
+                except ValueError:
+                    first = None
+                rows.append((path, *((first[0], first[1], dict(first[2])) if first else (None, None, None)), violations(t or "")))
+            yield pd.DataFrame(rows, columns=["path", "type", "key", "fields", "violations"])
+
+    read = docs.mapInPandas(run, "path string, type string, key string, fields map<string,string>, violations array<string>")
+    folder = F.when(F.contains("path", F.lit("/")), F.substring_index("path", "/", 1)).otherwise("")
+    return read.select("path", folder.alias("dir"), "type", "key", "fields", "violations")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,21 +15,41 @@ def micros(ts: str = "ts") -> Column:
 
 
 def token_bucket(log: DataFrame, rate: float, burst: float) -> DataFrame:
-    """(event_id, allowed): an ordered fold per namespace and user; state is (tokens, last time)."""
-    state = "struct<tokens:double,last:bigint,out:array<struct<event_id:bigint,allowed:boolean>>>"
-
-    def step(s: Column, e: Column) -> Column:
-        refilled = F.least(F.lit(burst), s["tokens"] + (e["t"] - s["last"]) / 1e6 * rate)
-        ok = refilled >= 1
-        return F.struct(
-            (refilled - F.when(ok, 1.0).otherwise(0.0)).alias("tokens"), e["t"].alias("last"),
-            F.concat(s["out"], F.array(F.struct(e["event_id"].alias("event_id"), ok.alias("allowed")))).alias("out"),
-        ).cast(state)
-
-    grouped = log.groupBy("namespace", "user_id").agg(F.array_sort(F.collect_list(F.struct(micros().alias("t"), "event_id"))).alias("events"))
-    first = F.get("events", F.lit(0))["t"]
-    start = F.struct(F.lit(burst).alias("tokens"), first.alias("last"), F.array().alias("out")).cast(state)
-    return grouped.select(F.explode(F.aggregate("events", start, step)["out"]).alias("x")).select("x.*")
+    """(event_id, allowed): an ordered fold per namespace and user; state is (tokens, last time). Rows pass in order,
+    batch by batch, so that a user's log is never gathered, however long it is."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, tokens, last = None, burst, 0
+        for batch in batches:
+            allowed = []
+            for now, t in zip(zip(batch["namespace"], batch["user_id"]), batch["t"].tolist()):
+                if now != key:
+                    key, tokens, last = now, burst, t
+                tokens = min(burst, tokens + (t - last) / 1e6 * rate)
+                allowed.append(tokens >= 1)
+                tokens, last = tokens - allowed[-1], t
+            yield pd.DataFrame({"event_id": batch["event_id"], "allowed": allowed})
+
+    keyed = log.select("namespace", F.col("user_id").cast("string").alias("user_id"), "event_id", micros().alias("t"))
+    ordered = keyed.repartition("namespace", "user_id").sortWithinPartitions("namespace", "user_id", "t", "event_id")
+    return ordered.mapInPandas(run, "event_id long, allowed boolean")
+
+
+def local(ts: Column | str, hours: int = -4) -> Column:
+    """A UTC time without zone as the clock of a fixed offset shows it."""
+    return (F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz") + F.expr(f"interval {hours} hours")
+
+
+def fresh(ts: Column | str, now: Column) -> Column:
+    """Whether a cached answer is of the month of `now`, months changing at midnight of UTC-4."""
+    return local(ts) >= F.date_trunc("month", local(now))
+
+
+def negative_expiry(ts: Column | str) -> Column:
+    """When a confirmed negative ends: the next Monday or first of a month after it, at midnight of UTC-4, as UTC."""
+    day = local(ts).cast("date")
+    ends = F.least(F.next_day(day, "Mon"), F.add_months(F.trunc(day, "month"), 1))
+    return ends.cast("timestamp_ntz") + F.expr("interval 4 hours")
 
 
 def sessions(log: DataFrame, gap: str) -> DataFrame:
