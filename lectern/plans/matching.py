@@ -110,7 +110,13 @@ def dedup_list(files: DataFrame, pairs: DataFrame) -> DataFrame:
     return cluster.greedy(records, matches)
 
 
-query("dedup_list", "v_files")(lambda files: dedup_list(files, identity.candidates(files, "import")))
+_MATCHED = "len(list_intersect(r.kept_ids, nb.m)) > 0"
+query("dedup_list", "v_files", sql=f"""WITH RECURSIVE {FEATURES}, s AS (SELECT lid, rid, {STEPS['import']} AS step FROM f), hit AS (SELECT lid, rid FROM s WHERE starts_with(step, '+')),
+nb AS (SELECT id, dir, row_number() OVER (PARTITION BY dir ORDER BY year DESC, {o.norm_title('title')}, author, id) AS n,
+  coalesce((SELECT list(CASE WHEN lid = v.id THEN rid ELSE lid END) FROM hit WHERE lid = v.id OR rid = v.id), []) AS m FROM v_files v),
+r AS (SELECT dir, n, id, true AS kept, [id] AS kept_ids FROM nb WHERE n = 1
+  UNION ALL SELECT nb.dir, nb.n, nb.id, NOT {_MATCHED}, CASE WHEN {_MATCHED} THEN r.kept_ids ELSE list_append(r.kept_ids, nb.id) END FROM r JOIN nb ON nb.dir = r.dir AND nb.n = r.n + 1)
+SELECT id, kept FROM r""")(lambda files: dedup_list(files, identity.candidates(files, "import")))
 
 
 @query("merge_lists", "v_files", "v_pairs", sql=f"""WITH {FEATURES}, s AS (SELECT lid, rid, {STEPS['import']} AS step FROM f)
@@ -216,11 +222,10 @@ for _field in fuse.GUARDS:
     query(f"merge_{_field}", "v_records", sql=_fold_sql(_field))(lambda t, f=_field: fuse.fold_field(t, f))
 
 
-@query("fused_entries", "v_records", sql="SELECT w.work_id, " + ", ".join(f"{f}.{f}, {f}.source AS {f}_source" for f in fuse.GUARDS) + " FROM (SELECT DISTINCT work_id FROM v_records) w "
+@query("fused_entries", "v_records", sql="SELECT w.* EXCLUDE (booktitle, booktitle_source), " + ", ".join(f"{f}.{f}, {f}.source AS {f}_source" for f in fuse.GUARDS) + " FROM (" + _FUSED + ") w "
        + " ".join(f"LEFT JOIN ({_fold_sql(f)}) {f} ON w.work_id = {f}.work_id" for f in fuse.GUARDS))
 def fused_entries(t: DataFrame) -> DataFrame:
-    whole = fuse.entries(t)
-    return whole.select("work_id", *[x for f in fuse.GUARDS for x in (f, f"{f}_source")])
+    return fuse.entries(t)
 
 
 @query("provenance", "v_records", sql=f"""WITH l AS (SELECT work_id, seq, source, source_rank, unnest([{{'field': 'doi', 'value': doi}}, {{'field': 'booktitle', 'value': booktitle}}, {{'field': 'pages', 'value': pages}}], recursive := true) FROM v_records)

@@ -5,6 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
 from lectern import policy
 from lectern.functions import ids, people, publication, similarity, text
@@ -286,3 +287,53 @@ def test_identity_with_a_target_author(spark):
     df = spark.createDataFrame([(1, 2, 2020, 2020, *row[0], *row[1])], "lid long, rid long, lyear int, ryear int, " + ", ".join(f"{s}{n} string" for s in "lr" for n in names))
     assert identity.decide(df, "import").first().reason == "AUTHOR_CONFLICT"
     assert identity.decide(df, "import", target="Max Roe").first().verdict
+
+
+def test_publication_gates(spark):
+    from lectern.operators import publish
+
+    d, e = "a" * 64, "b" * 64
+    rows = [(False, 0, d, d, d), (True, 3, d, d, d), (True, 0, "", d, d), (True, 0, d, e, d), (True, 0, d, d, None), (True, 0, d, d, d), (None, None, d, d, d)]
+    got = spark.createDataFrame(rows, "c boolean, u long, x string, m string, k string").select(publish.candidate_block(*[F.col(n) for n in "cuxmk"]).alias("r")).collect()
+    assert [r.r for r in got] == ["GENERATION_INCOMPLETE", "UNRESOLVED_WORK:3", "NO_COMPLETED_MANIFEST", "MANIFEST_MISMATCH", "CANDIDATE_MISMATCH", None, "GENERATION_INCOMPLETE"]
+    sha = "c" * 40
+    rows = [(False, True, sha, "h", "h"), (True, None, sha, "h", "h"), (True, True, "c", "h", "h"), (True, True, sha, "g", "h"), (True, True, sha, "h", "h")]
+    got = spark.createDataFrame(rows, "m boolean, k boolean, s string, a string, b string").select(publish.merge_block(*[F.col(n) for n in "mksab"]).alias("r")).collect()
+    assert [r.r for r in got] == ["NOT_MERGED", "CHECKS_NOT_PASSED", "NO_MERGE_COMMIT", "HEAD_MISMATCH", None]
+
+
+def test_months_of_the_cache(spark):
+    from lectern.streaming import limits
+
+    times = ["2024-02-01 03:59:00", "2024-02-01 04:00:00", "2024-01-15 12:00:00", "2024-12-30 12:00:00"]
+    rows = spark.createDataFrame([(t,) for t in times], "t string").selectExpr("cast(t as timestamp_ntz) as ts")
+    now = F.expr("timestamp_ntz '2024-02-20 00:00:00'")
+    got = rows.select(limits.fresh("ts", now).alias("f"), F.date_format(limits.negative_expiry("ts"), "yyyy-MM-dd HH:mm").alias("e")).collect()
+    assert [r.f for r in got] == [False, True, False, True]
+    assert [r.e for r in got] == ["2024-02-01 04:00", "2024-02-05 04:00", "2024-01-22 04:00", "2025-01-01 04:00"]
+
+
+def test_directory_scan(spark, tmp_path):
+    from lectern.sources import bibtex
+
+    docs = [("a/x y+z.bib", "@misc{k, title = {T}, year = {2020}}\n"), ("b/two.bib", "@misc{a, year={2020}}@misc{b, year={2020}}"), ("b/bad.bib", "no entry"), ("top.bib", "@article{t, title = {A}, year = {1999}}"), ("b/other.txt", "x")]
+    root = f"file://{tmp_path}/corpus"
+    bibtex.write_directory(spark.createDataFrame(docs, "path string, document string"), root)
+    got = {r.path: r for r in bibtex.scan_directory(spark, root).collect()}
+    assert set(got) == {p for p, _ in docs if p.endswith(".bib")}
+    assert (got["a/x y+z.bib"].dir, got["a/x y+z.bib"].fields["title"], got["a/x y+z.bib"].violations) == ("a", "T", [])
+    assert got["top.bib"].dir == "" and got["b/two.bib"].violations == ["entry_count"] and got["b/bad.bib"].type is None
+
+
+def test_record_faults(spark):
+    from lectern.sources import providers
+
+    rows = [
+        ("crossref", '{"title":["A"],"author":null,"issued":{"date-parts":[[2020,1]]},"container-title":[]}', []), ("crossref", '{"title":"A","DOI":5}', ["$.DOI", "$.title"]),
+        ("crossref", '{"title":["A"],"author":[{"given":1}]}', ["$.author"]), ("s2", '{"year":"2020","externalIds":{"DOI":"x","CorpusId":5}}', ["$.externalIds", "$.year"]),
+        ("s2", '{"year":2020,"authors":[{"name":"A"}],"journal":null,"externalIds":{"DOI":"x"}}', []), ("openalex", '{"authorships":[{"author":{}}],"primary_location":{"source":null}}', ["$.authorships"]),
+        ("openalex", '{"authorships":[{"author":{"display_name":"A"}}],"publication_year":2020}', []), ("europepmc", '{"pubYear":2020}', ["$.pubYear"]), ("csl", '{"title":" "}', ["$.title"]),
+    ]
+    for provider, body, want in rows:
+        got = spark.createDataFrame([(body,)], "b string").select(providers.faults(F.try_parse_json("b"), provider).alias("f")).first().f
+        assert got == want, (provider, body)
