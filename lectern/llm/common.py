@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
+HUB = 1000
+MOST_HUBS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +55,20 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def hub_join(rows: DataFrame, keyed: DataFrame, key: list[str]) -> DataFrame:
+    """`rows` joined with `keyed` (one row for each key, n: how many of `rows` have it; n is dropped). Keys that hold
+    over 1 / MOST_HUBS of these rows, so at most MOST_HUBS keys, and over `HUB` rows, are broadcast: their rows stay
+    where they are. The rest is shuffled."""
+    keyed = cut(keyed)
+    ends = keyed.agg(F.sum("n"), F.max("n")).first()
+    limit = max(HUB, -(-int(ends[0] or 0) // MOST_HUBS))
+    if (ends[1] or 0) <= limit:
+        return rows.join(keyed.drop("n"), key)
+    hubs = F.broadcast(keyed.where(F.col("n") > limit).drop("n"))  # MOST_HUBS rows at most
+    rest = rows.join(hubs.select(*key), key, "left_anti").join(keyed.where(F.col("n") <= limit).drop("n"), key)
+    return rows.join(hubs, key).unionByName(rest)
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Few rows in an Arrow batch: whole texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -1,8 +1,7 @@
 """Connected components of an undirected edge table by alternating large-star and small-star steps.
 
-Every step is a join and an aggregation; no component is ever gathered in one place. Hubs, ids with over
-1 / MOST_HUBS of all ends (so at most MOST_HUBS of them) and over `HUB` links, meet their least neighbour by a broadcast:
-their links stay where they are.
+Every step is a join and an aggregation; no component is ever gathered in one place. Hubs meet their least neighbour
+by a broadcast: their links stay where they are.
 """
 
 from __future__ import annotations
@@ -10,23 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-
-HUB = 1000
-MOST_HUBS = 100_000
+from .common import cut, hub_join
 
 
 def _with_least(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """`links` (u, v) with m, the least of u and its neighbours; and (u, m) of each u."""
     least = cut(links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")))
-    ends = least.agg(F.sum("n"), F.max("n")).first()
-    limit = max(HUB, -(-(ends[0] or 0) // MOST_HUBS))
-    known = least.drop("n")
-    if (ends[1] or 0) <= limit:
-        return links.join(known, "u"), known
-    hubs = F.broadcast(least.where(F.col("n") > limit).drop("n"))  # MOST_HUBS rows at most: each has over 1 / MOST_HUBS of all ends
-    rest = links.join(hubs, "u", "left_anti").join(least.where(F.col("n") <= limit).drop("n"), "u")
-    return links.join(hubs, "u").unionByName(rest), known
+    return hub_join(links, least, ["u"]), least.drop("n")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, small_batches, stored
+from .common import cut, hub_join, small_batches, stored
 from .components import components
 from .shingles import bags, mix, packed, windows, word_hashes
 
@@ -166,7 +166,7 @@ def classes(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     known = docs.select("doc_id", "text").where("doc_id is not null")
     signed = stored(known.mapInPandas(_sign, "doc_id long, bag binary, shingles long, bands array<long>"), "bands")
-    members = signed.groupBy("bag").agg(F.min("doc_id").alias("node"))
+    members = signed.groupBy("bag").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")).where("n > 1")
     nodes = stored(
         signed.where("bands is not null").groupBy("bag").agg(F.min(F.struct("doc_id", "shingles", "bands")).alias("first"))
         .select("first.doc_id", "first.shingles", "first.bands"),
@@ -190,7 +190,7 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = known
     links = stored(verified(pairs, texts), "links")
     # repeated ids and equal multisets are links too
-    copies = signed.join(members, "bag").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    copies = hub_join(signed.select("doc_id", "bag"), members, ["bag"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     if large.take(1):
         links = links.unionByName(stored(_open_links(dealt, components(links), texts), "links"))
     joined = components(links.unionByName(copies))

@@ -36,7 +36,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import hub_join, small_batches, stored
 from .files import read_range
 from .shingles import hash_spans, mix, packed
 
@@ -298,8 +298,8 @@ class Search:
             self.base.select("row", "text").mapInPandas(_find_anchors, "gram long, context long, row long, pos int, after short"),
             "anchors",
         )
-        grams = points.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-        self.live = stored(points.join(grams, "gram"), "live")
+        grams = points.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+        self.live = stored(hub_join(points, grams, ["gram"]), "live")
         self.contexts = stored(
             self.live.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("one")),
             "contexts",
@@ -328,8 +328,8 @@ class Search:
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of `docs`."""
     found = Search(docs, hot)
-    again = found.contexts.where("n > 1").select("gram", "context")
-    spans = found.live.join(again, ["gram", "context"]).select(
+    again = found.contexts.where("n > 1").select("gram", "context", "n")
+    spans = hub_join(found.live, again, ["gram", "context"]).select(
         "row",
         F.greatest(F.lit(0), F.col("pos") - REACH).alias("start"),
         (F.col("pos") + F.col("after")).cast("int").alias("end"),
@@ -350,8 +350,8 @@ def repeat_groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
     LENGTH-byte pieces, not maximal ones."""
     found = Search(docs, hot)
     where = found.base.select("row", "doc_id")
-    again = found.contexts.where("n > 1").select("gram", "context")
-    equal = found.live.join(again, ["gram", "context"]).select(
+    again = found.contexts.where("n > 1").select("gram", "context", "n")
+    equal = hub_join(found.live, again, ["gram", "context"]).select(
         F.concat_ws("=", "gram", "context").alias("group_id"),
         (F.least("pos", F.lit(REACH)) + F.col("after")).alias("n_bytes"),
         F.lit(True).alias("maximal"), "row", F.greatest(F.lit(0), F.col("pos") - REACH).alias("start"),

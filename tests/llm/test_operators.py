@@ -336,3 +336,14 @@ def test_pipeline(spark, sf_dir):
         assert docs.columns == columns and docs.count() > 0
     assert corpus_pipeline.run(spark, sf_dir).count() == docs.count()
     assert docs.agg(F.max("doc_id")).first()[0] is not None
+
+
+def test_hub_join_equals_a_join(spark, monkeypatch):
+    from lectern.llm import common
+
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(300)] + [(None, 1)], "u long, v long")
+    keyed = rows.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m"))
+    want = sorted(map(tuple, rows.join(keyed.drop("n"), "u").collect()))
+    for hub in (1000, 50, 0):
+        monkeypatch.setattr(common, "HUB", hub)
+        assert sorted(map(tuple, common.hub_join(rows, keyed, ["u"]).select("u", "v", "m").collect())) == want
