@@ -3,7 +3,8 @@
 Equal vectors of a label are one class. In each of `PASSES` passes a vector gets `BITS` random
 projections' signs, read as one number; the vectors of a label are put in the order of these numbers and
 cut into blocks of `BLOCK`. Vectors of one block or of neighbouring blocks are compared (the bounded
-window). A group that is denser than the label at large may be longer than the window: vectors that share the first
+window); a tile of the window holds `WIDE` blocks and the one after them, so that a vector goes to 1 + 1 / WIDE
+tiles a pass. A group that is denser than the label at large may be longer than the window: vectors that share the first
 `PREFIX` bits, and one more for each doubling of the label beyond 2**PREFIX blocks, are compared all in tiles of two
 blocks, so that at any size an evenly spread label gives each prefix about a block, and only dense groups give more.
 At a cosine of 0.98 two vectors share 12 bits with probability 0.45 and 20 bits with 0.27, so that ten passes
@@ -37,6 +38,8 @@ from .components import components
 PASSES = 10
 BITS = 32
 BLOCK = 128
+WIDE = 4
+WINDOW = -1
 PREFIX = 12
 SLICE = 8
 THRESHOLD = 0.98
@@ -81,12 +84,12 @@ def _tile(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
     linked = x @ x.T >= THRESHOLD
     np.fill_diagonal(linked, False)
     own = blocks[:, p]
-    if high == low + 1:  # the window: inside the first block, and between both
-        linked &= ~((own[:, None] == high) & (own[None, :] == high))
-    else:  # a dense group: between both blocks, equal prefixes
-        linked &= own[:, None] != own[None, :]
-        linked &= prefixes[:, p][:, None] == prefixes[:, p][None, :]
     i, j = np.nonzero(linked)
+    if high == WINDOW:  # neighbours, but for pairs inside the last block, which are the next tile's
+        fresh = (np.abs(own[i] - own[j]) <= 1) & ((own[i] != low + WIDE) | (own[j] != low + WIDE))
+    else:  # a dense group: between both blocks, equal prefixes
+        fresh = (own[i] != own[j]) & (prefixes[i, p] == prefixes[j, p])
+    i, j = i[fresh], j[fresh]
     fresh = np.ones(len(i), dtype=bool)
     for q in range(p):
         near = np.abs(blocks[i, q] - blocks[j, q]) <= 1
@@ -117,7 +120,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     marked = x.withColumn("fit", F.coalesce(fit, F.lit(False)))
     good = marked.where("fit").select(
         "vec_id", "label", "vector",
-        F.md5(F.concat_ws(",", F.col("label").cast("string"), F.col("vector").cast("array<string>"))).alias("class"),
+        F.unhex(F.md5(F.concat_ws(",", F.col("label").cast("string"), F.col("vector").cast("array<string>")))).alias("class"),
     )
     classes = good.groupBy("label", "class").agg(
         F.count("*").alias("mass"), F.min("vec_id").alias("node"), F.first("vector").alias("vector")
@@ -125,7 +128,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     keyed = stored(
         classes.select(F.col("label").cast("long").alias("label"), "class", "mass", "node", "vector").mapInPandas(
             _keys("<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"),
-            "label long, class string, mass long, node long, dim int, raw binary, keys array<long>",
+            "label long, class binary, mass long, node long, dim int, raw binary, keys array<long>",
         ),
         "vectors",
     )
@@ -133,7 +136,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     tiles = _tiles(placed)
     found = stored(
         tiles.groupBy("label", "dim", "pass", "low", "high")
-        .applyInPandas(_tile, "class string, links long, node long, least long"),
+        .applyInPandas(_tile, "class binary, links long, node long, least long"),
         "links",
     )
     sums = found.groupBy("class").agg(F.sum("links").alias("links"))
@@ -152,42 +155,41 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
 
 
 def _placed(keyed: DataFrame) -> DataFrame:
-    """`keyed` with blocks: the block of each vector in every pass."""
+    """`keyed` with blocks, firsts and lasts: the block of each vector in every pass, and the first and last block of
+    its prefix. A prefix lies within a slice, so that its ends are found where the slice was ranked."""
     passes = keyed.select("label", "dim", "class", F.posexplode("keys").alias("pass", "key")).withColumn(
-        "slice", F.expr(f"shiftright(key, {BITS - SLICE})")
+        "slice", F.expr(f"shiftright(key, {BITS - min(SLICE, PREFIX)})")
     )
     counts = passes.groupBy("label", "dim", "pass", "slice").agg(F.count("*").alias("held"))
     ahead = W.partitionBy("label", "dim", "pass").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy("label", "dim", "pass")
+    of = F.sum("held").over(whole)
+    spread = F.ceil(F.log2(of / float(BLOCK << PREFIX)))
     offsets = counts.select(
-        "*", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("offset"), F.sum("held").over(whole).alias("of")
-    ).drop("held")
-    inside = W.partitionBy("label", "dim", "pass", "slice").orderBy("key", "class")
-    ranked = passes.withColumn("rank", F.row_number().over(inside) - 1).join(offsets, ["label", "dim", "pass", "slice"])
-    blocks = ranked.groupBy("class").agg(
-        F.array_sort(F.collect_list(F.struct("pass", F.expr(f"(offset + rank) div {BLOCK}").alias("block")))).alias("all"),
-        F.max("of").alias("of"),
+        "label", "dim", "pass", "slice", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("offset"),
+        F.least(F.lit(BITS - 1), F.lit(PREFIX) + F.greatest(F.lit(0), spread)).cast("int").alias("bits"),
     )
-    spread = F.ceil(F.log2(F.col("of") / float(BLOCK << PREFIX)))
-    bits = F.least(F.lit(BITS - 1), F.lit(PREFIX) + F.greatest(F.lit(0), spread)).cast("int")
-    return keyed.join(blocks.select("class", F.transform("all", lambda v: v["block"]).alias("blocks"), bits.alias("bits")), "class")
+    slices = ["label", "dim", "pass", "slice"]
+    ranked = (
+        passes.withColumn("rank", F.row_number().over(W.partitionBy(*slices).orderBy("key", "class")) - 1).join(offsets, slices)
+        .withColumn("block", F.expr(f"(offset + rank) div {BLOCK}")).withColumn("prefix", F.expr(f"shiftright(key, {BITS} - bits)"))
+    )
+    run = W.partitionBy(*slices, "prefix")
+    ends = ranked.select("class", "pass", "block", "bits", F.min("block").over(run).alias("first"), F.max("block").over(run).alias("last"))
+    blocks = ends.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("pass", "block", "first", "last"))).alias("all"), F.max("bits").alias("bits"))
+    each = [F.col(f"all.{c}").alias(f"{c}s") for c in ("block", "first", "last")]
+    return keyed.join(blocks.select("class", *each, "bits"), "class")
 
 
 def _tiles(placed: DataFrame) -> DataFrame:
-    """Rows of `placed` dealt to tiles (label, dim, pass, low, high): two neighbouring blocks, or two blocks
-    further apart within a run of one prefix."""
-    each = placed.select("*", F.posexplode(F.arrays_zip("blocks", "keys")).alias("pass", "at"))
-    each = each.withColumn("block", F.col("at.blocks")).withColumn("prefix", F.expr(f"shiftright(at.keys, {BITS} - bits)")).drop("at")
-    beside = each.withColumn("low", F.explode(F.array(F.col("block") - 1, F.col("block")))).withColumn("high", F.col("low") + 1)
-    runs = (
-        each.groupBy("label", "dim", "pass", "prefix").agg(F.min("block").alias("first"), F.max("block").alias("last"))
-        .where("last - first >= 2")
-    )
-    far = (
-        each.join(runs, ["label", "dim", "pass", "prefix"])
-        .withColumn("other", F.explode(F.sequence("first", "last")))
-        .where(F.abs(F.col("other") - F.col("block")) >= 2)
-        .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    )
-    cols = ["label", "dim", "pass", "low", "high", "class", "node", "mass", "raw", "blocks", "keys", "bits"]
-    return beside.select(*cols).unionByName(far.select(*cols))
+    """Rows of `placed` dealt to tiles (label, dim, pass, low, high): a window from block `low` on, or two blocks further
+    apart within a run of one prefix."""
+    each = placed.select("*", F.posexplode(F.arrays_zip("blocks", "firsts", "lasts")).alias("pass", "at")).select(
+        "*", F.col("at.blocks").alias("block"), F.col("at.firsts").alias("first"), F.col("at.lasts").alias("last"))
+    start = f"block - block % {WIDE}"
+    window = F.expr(f"""transform(if(block % {WIDE} = 0 and block > 0, array(block - {WIDE}, block), array({start})),
+        b -> named_struct('low', b, 'high', {WINDOW}L))""")
+    far = F.expr("""transform(filter(sequence(first, last), b -> abs(b - block) >= 2),
+        b -> named_struct('low', least(b, block), 'high', greatest(b, block)))""")
+    dealt = each.withColumn("tile", F.explode(F.concat(window, far)))
+    return dealt.select("label", "dim", "pass", "tile.low", "tile.high", "class", "node", "mass", "raw", "blocks", "keys", "bits")
