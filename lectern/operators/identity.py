@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern import policy
@@ -133,26 +133,47 @@ def _with_identifiers(files: DataFrame) -> DataFrame:
     return files.withColumn("arxiv", ids.entry_arxiv(held["archiveprefix"], held["eprint"], F.col("doi"), F.coalesce(F.nullif("journal", F.lit("")), "howpublished")))
 
 
+def _facts(c) -> Column:
+    """What the ladders read of one record, as a struct; `c` gives its columns by name."""
+    names, doi = people.parse_authors(c("author")), text.text(ids.norm_doi(c("doi")))
+    return F.struct(
+        text.normalize_title(c("title")).alias("norm"), text.normalize_title(c("venue")).alias("venue"),
+        people.signatures(names).alias("sigs"), F.size(names).alias("people"), c("year").alias("year"),
+        doi.alias("doi"), text.text(c("journal")).alias("journal"), c("key").alias("key"), c("s2").alias("s2"),
+        text.text(c("arxiv")).alias("arxiv"), (F.trim(text.text(c("author"))) != "").alias("named"),
+        ids.doi_base(doi).alias("base"), ids.is_secondary_doi(doi).alias("sec"), ids.is_preprint_doi(doi).alias("pre"),
+        venues.is_preprint_server(c("journal")).alias("server"),
+    )
+
+
+def all_pairs(files: DataFrame) -> DataFrame:
+    """(lid, rid, l, r): all pairs of records of an author, with the facts of either side. Facts are computed once for
+    each record, below the join."""
+    held = _with_identifiers(files).withColumn("venue", F.coalesce("journal", "booktitle", "howpublished")).withColumnRenamed("s2_id", "s2")
+    each = held.select("id", "dir", _facts(F.col).alias("facts"))
+    l, r = (each.select("dir", F.col("id").alias(f"{s}id"), F.col("facts").alias(s)) for s in "lr")
+    return l.join(r, "dir").where("lid < rid").select("lid", "rid", "l", "r")
+
+
 def features(pairs: DataFrame, target: str | None = None) -> DataFrame:
-    """Features of pairs with lid, rid and l/r title, author, year, doi, journal, venue, key, s2, arxiv. With a target
-    author, that name stands for the left list of authors."""
+    """Features of pairs with lid, rid and either facts l and r, or l/r title, author, year, doi, journal, venue, key, s2,
+    arxiv. With a target author, that name stands for the left list of authors."""
+    if "l" not in pairs.columns:
+        pairs = pairs.select("lid", "rid", *[_facts(lambda n, s=s: F.col(s + n)).alias(s) for s in "lr"])
     if target is not None:
-        pairs = pairs.withColumn("lauthor", F.lit(target))
-    a, b = (people.parse_authors(c) for c in ("lauthor", "rauthor"))
+        names = people.parse_authors(F.lit(target))
+        said = {"sigs": people.signatures(names), "people": F.size(names), "named": F.lit(target.strip() != "")}
+        left = F.col("l")
+        for name, value in said.items():
+            left = left.withField(name, value)
+        pairs = pairs.withColumn("l", left)
+    sides = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "lr" for c in ("norm", "venue", "people", "doi", "journal", "arxiv", "named", "base", "sec", "pre", "server")]
     base = pairs.select(
-        "lid", "rid",
-        text.normalize_title("ltitle").alias("l_norm"), text.normalize_title("rtitle").alias("r_norm"),
-        text.normalize_title("lvenue").alias("l_venue"), text.normalize_title("rvenue").alias("r_venue"),
-        people.signatures(a).alias("a"), people.signatures(b).alias("b"),
-        F.size(a).alias("l_people"), F.size(b).alias("r_people"),
-        F.abs(F.col("lyear") - F.col("ryear")).alias("gap"),
-        text.text(ids.norm_doi("ldoi")).alias("l_doi"), text.text(ids.norm_doi("rdoi")).alias("r_doi"),
-        text.text("ljournal").alias("l_journal"), text.text("rjournal").alias("r_journal"),
-        F.expr("lkey <> '' and lkey = rkey").alias("same_key"),
+        "lid", "rid", *sides, F.col("l.sigs").alias("a"), F.col("r.sigs").alias("b"),
+        F.abs(F.col("l.year") - F.col("r.year")).alias("gap"),
+        F.expr("l.key <> '' and l.key = r.key").alias("same_key"),
         F.lit(target is not None).alias("targeted"),
-        *[(F.trim(text.text(f"{s}author")) != "").alias(f"{s}_named") for s in "lr"],
-        text.text("larxiv").alias("l_arxiv"), text.text("rarxiv").alias("r_arxiv"),
-        F.coalesce(F.col("ls2") == F.col("rs2"), F.lit(False)).alias("ext"),
+        F.coalesce(F.col("l.s2") == F.col("r.s2"), F.lit(False)).alias("ext"),
     )
     return base.select(
         "*",
@@ -161,9 +182,6 @@ def features(pairs: DataFrame, target: str | None = None) -> DataFrame:
         people.overlap(F.col("a"), F.col("b")).alias("shared"),
         people.overlap_ratio(F.col("a"), F.col("b")).alias("ratio"),
         text.truncated_match(F.col("l_norm"), F.col("r_norm")).alias("trunc"),
-        ids.doi_base(F.col("l_doi")).alias("l_base"), ids.doi_base(F.col("r_doi")).alias("r_base"),
-        *[f(F.col(f"{s}_doi")).alias(f"{s}_{n}") for s in "lr" for n, f in (("sec", ids.is_secondary_doi), ("pre", ids.is_preprint_doi))],
-        *[venues.is_preprint_server(f"{s}_journal").alias(f"{s}_server") for s in "lr"],
     ).select(
         "*",
         F.when((F.col("l_venue") == "") | (F.col("r_venue") == ""), 0.0).otherwise(F.col("venue_any")).alias("venue_sim"),

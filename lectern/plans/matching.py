@@ -73,34 +73,34 @@ def _identity_sql(context: str) -> str:
 
 
 for _context in identity.LADDERS:
-    query(f"identity_{_context}", "v_pairs", sql=_identity_sql(_context))(lambda t, c=_context: identity.decide(t, c))
+    query(f"identity_{_context}", "v_files", sql=_identity_sql(_context))(lambda t, c=_context: identity.decide(identity.all_pairs(t), c))
 
 
-@query("dedup_score", "v_pairs", sql=f"WITH {FEATURES} SELECT lid, rid, round({_SCORE} + {_XOR}, 6)::DOUBLE AS score FROM f")
+@query("dedup_score", "v_files", sql=f"WITH {FEATURES} SELECT lid, rid, round({_SCORE} + {_XOR}, 6)::DOUBLE AS score FROM f")
 def dedup_score(t: DataFrame) -> DataFrame:
-    return identity.features(t).select("lid", "rid", F.round(F.expr(f"{identity.COMPOSITE} + {identity.XOR_BONUS}").cast("double"), 6).alias("score"))
+    return identity.features(identity.all_pairs(t)).select("lid", "rid", F.round(F.expr(f"{identity.COMPOSITE} + {identity.XOR_BONUS}").cast("double"), 6).alias("score"))
 
 
-@query("candidate_score", "v_pairs", sql=f"WITH {FEATURES} SELECT lid, rid, CASE WHEN sim < 0.8 THEN 0.0 ELSE round(0.7 * sim + CASE WHEN shared THEN 0.2 ELSE 0 END + CASE WHEN gap <= 1 THEN 0.2 ELSE 0 END, 6) END::DOUBLE AS score FROM f")
+@query("candidate_score", "v_files", sql=f"WITH {FEATURES} SELECT lid, rid, CASE WHEN sim < 0.8 THEN 0.0 ELSE round(0.7 * sim + CASE WHEN shared THEN 0.2 ELSE 0 END + CASE WHEN gap <= 1 THEN 0.2 ELSE 0 END, 6) END::DOUBLE AS score FROM f")
 def candidate_score(t: DataFrame) -> DataFrame:
     score = "case when sim < 0.8 then 0.0d else round(0.7d * sim + case when shared then 0.2d else 0d end + case when gap <= 1 then 0.2d else 0d end, 6) end"
-    return identity.features(t).select("lid", "rid", F.expr(score).alias("score"))
+    return identity.features(identity.all_pairs(t)).select("lid", "rid", F.expr(score).alias("score"))
 
 
-@query("topk_candidates", "v_pairs", sql=f"WITH {FEATURES}, k AS (SELECT lid, rid, sim, row_number() OVER (PARTITION BY lid ORDER BY round(sim, 9) DESC, rid) AS place FROM f WHERE sim >= 0.8) SELECT lid, rid, place, round(sim, 6) AS sim FROM k WHERE place <= 5")
+@query("topk_candidates", "v_files", sql=f"WITH {FEATURES}, k AS (SELECT lid, rid, sim, row_number() OVER (PARTITION BY lid ORDER BY round(sim, 9) DESC, rid) AS place FROM f WHERE sim >= 0.8) SELECT lid, rid, place, round(sim, 6) AS sim FROM k WHERE place <= 5")
 def topk_candidates(t: DataFrame) -> DataFrame:
     best = W.partitionBy("lid").orderBy(F.desc(F.round("sim", 9)), "rid")
-    return identity.features(t).where("sim >= 0.8").withColumn("place", F.row_number().over(best).cast("long")).where("place <= 5").select("lid", "rid", "place", F.round("sim", 6).alias("sim"))
+    return identity.features(identity.all_pairs(t)).where("sim >= 0.8").withColumn("place", F.row_number().over(best).cast("long")).where("place <= 5").select("lid", "rid", "place", F.round("sim", 6).alias("sim"))
 
 
-@query("admit_candidates", "v_pairs", sql=f"WITH {FEATURES}, s AS (SELECT lid, rid, {STEPS['enrichment']} AS step FROM f) SELECT lid, min(rid) AS rid FROM s WHERE starts_with(step, '+') GROUP BY lid")
+@query("admit_candidates", "v_files", sql=f"WITH {FEATURES}, s AS (SELECT lid, rid, {STEPS['enrichment']} AS step FROM f) SELECT lid, min(rid) AS rid FROM s WHERE starts_with(step, '+') GROUP BY lid")
 def admit_candidates(t: DataFrame) -> DataFrame:
-    return identity.decide(t, "enrichment").where("verdict").groupBy("lid").agg(F.min("rid").alias("rid"))
+    return identity.decide(identity.all_pairs(t), "enrichment").where("verdict").groupBy("lid").agg(F.min("rid").alias("rid"))
 
 
-@query("baseline_lookup", "v_pairs", sql=f"WITH {FEATURES}, k AS (SELECT rid, min(lid) AS lid FROM f WHERE sim >= 0.95 GROUP BY rid) SELECT rid, lid FROM k")
+@query("baseline_lookup", "v_files", sql=f"WITH {FEATURES}, k AS (SELECT rid, min(lid) AS lid FROM f WHERE sim >= 0.95 GROUP BY rid) SELECT rid, lid FROM k")
 def baseline_lookup(t: DataFrame) -> DataFrame:
-    return identity.features(t).where("sim >= 0.95").groupBy("rid").agg(F.min("lid").alias("lid"))
+    return identity.features(identity.all_pairs(t)).where("sim >= 0.95").groupBy("rid").agg(F.min("lid").alias("lid"))
 
 
 def dedup_list(files: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -119,18 +119,18 @@ r AS (SELECT dir, n, id, true AS kept, [id] AS kept_ids FROM nb WHERE n = 1
 SELECT id, kept FROM r""")(lambda files: dedup_list(files, identity.candidates(files, "import")))
 
 
-@query("merge_lists", "v_files", "v_pairs", sql=f"""WITH {FEATURES}, s AS (SELECT lid, rid, {STEPS['import']} AS step FROM f)
+@query("merge_lists", "v_files", sql=f"""WITH {FEATURES}, s AS (SELECT lid, rid, {STEPS['import']} AS step FROM f)
 SELECT id, dir FROM v_files WHERE id % 3 <> 0 UNION ALL SELECT id, dir FROM v_files v WHERE id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM s WHERE starts_with(step, '+') AND (s.lid = v.id AND s.rid % 3 <> 0 OR s.rid = v.id AND s.lid % 3 <> 0))""")
-def merge_lists(files: DataFrame, pairs: DataFrame) -> DataFrame:
+def merge_lists(files: DataFrame) -> DataFrame:
     first, second = files.where("id % 3 <> 0"), files.where("id % 3 = 0")
-    hit = identity.decide(pairs, "import").where("verdict and (lid % 3 = 0) <> (rid % 3 = 0)").select(F.when(F.col("lid") % 3 == 0, F.col("lid")).otherwise(F.col("rid")).alias("id"))
+    hit = identity.decide(identity.all_pairs(files), "import").where("verdict and (lid % 3 = 0) <> (rid % 3 = 0)").select(F.when(F.col("lid") % 3 == 0, F.col("lid")).otherwise(F.col("rid")).alias("id"))
     return first.select("id", "dir").unionByName(second.join(hit, "id", "left_anti").select("id", "dir"))
 
 
-@query("superseded_preprints", "v_files", "v_pairs", sql=f"""WITH {FEATURES}, s AS (SELECT lid, rid, l_pre_rec, r_pre_rec, {STEPS['survivor']} AS step FROM f)
+@query("superseded_preprints", "v_files", sql=f"""WITH {FEATURES}, s AS (SELECT lid, rid, l_pre_rec, r_pre_rec, {STEPS['survivor']} AS step FROM f)
 SELECT DISTINCT id, path FROM v_files v JOIN s ON (v.id = s.lid AND l_pre_rec AND NOT r_pre_rec OR v.id = s.rid AND r_pre_rec AND NOT l_pre_rec) WHERE starts_with(step, '+')""")
-def superseded_preprints(files: DataFrame, pairs: DataFrame) -> DataFrame:
-    f = identity.features(pairs).withColumn("step", F.expr(identity.LADDERS["survivor"])).where("startswith(step, '+') and l_pre_rec <> r_pre_rec")
+def superseded_preprints(files: DataFrame) -> DataFrame:
+    f = identity.features(identity.all_pairs(files)).withColumn("step", F.expr(identity.LADDERS["survivor"])).where("startswith(step, '+') and l_pre_rec <> r_pre_rec")
     old = f.select(F.when(F.col("l_pre_rec"), F.col("lid")).otherwise(F.col("rid")).alias("id"))
     return files.join(old, "id", "left_semi").select("id", "path")
 
@@ -139,9 +139,9 @@ _ACTION = """CASE WHEN NOT starts_with(step, '+') THEN 'DISTINCT' WHEN l_pre_rec
  WHEN l_doi = '' AND r_doi <> '' THEN 'REPLACE' WHEN l_doi <> '' AND r_doi = '' THEN 'KEEP_EXISTING' WHEN gap > 0 THEN 'USE_NEW_NAME' ELSE 'REUSE_KEY' END"""
 
 
-@query("survivor_decision", "v_pairs", sql=f"WITH {FEATURES}, s AS (SELECT *, {STEPS['survivor']} AS step FROM f) SELECT lid, rid, {_ACTION} AS action FROM s")
+@query("survivor_decision", "v_files", sql=f"WITH {FEATURES}, s AS (SELECT *, {STEPS['survivor']} AS step FROM f) SELECT lid, rid, {_ACTION} AS action FROM s")
 def survivor_decision(t: DataFrame) -> DataFrame:
-    return identity.features(t).withColumn("step", F.expr(identity.LADDERS["survivor"])).select("lid", "rid", F.expr(_ACTION.replace("starts_with", "startswith")).alias("action"))
+    return identity.features(identity.all_pairs(t)).withColumn("step", F.expr(identity.LADDERS["survivor"])).select("lid", "rid", F.expr(_ACTION.replace("starts_with", "startswith")).alias("action"))
 
 
 @query("doi_net_action", "v_files", sql=f"""WITH b AS (SELECT id, dir, doi, regexp_replace(lower(doi), '\\.v\\d+$', '') AS base FROM v_files WHERE doi IS NOT NULL)
