@@ -3,7 +3,7 @@ log-count ratios, trained on labelled text.
 
 1. Labelled documents of the training fold are drawn by hash, at most `SAMPLE` of each class (the
    documented bound of the fit).
-   All parameters below were chosen by cross-validation over the training folds alone.
+   FEATURES, ORDERS, LEAST_DF, L2 and LIFT were chosen by cross-validation over the training folds alone.
 2. Document frequencies of hashed n-grams per class are counted on the executors and give each n-gram
    its log ratio of rates; the `FEATURES` with the most evidence are kept.
    The size of the model is FEATURES, as its depth is ORDERS: a parameter of the classifier, not of the data.
