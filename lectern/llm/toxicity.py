@@ -7,8 +7,9 @@ log-count ratios, trained on labelled text.
 2. Document frequencies of hashed n-grams per class are counted on the executors and give each n-gram
    its log ratio of rates; the `FEATURES` with the most evidence are kept.
    The size of the model is FEATURES, as its depth is ORDERS: a parameter of the classifier, not of the data.
-3. Logistic regression (L2, L-BFGS) is fitted on presence times log ratio; the weights are folded into
-   one array, which is sent to the executors (at most `FEATURES` non-zero entries).
+3. Logistic regression (L2, L-BFGS) is fitted on presence times log ratio, in one task on an executor: the
+   driver gets neither n-grams nor features of documents. The weights are folded into one array, which is sent
+   to the executors (at most `FEATURES` non-zero entries).
 4. Every whole text is scored.
 
 Defined results: a null or empty text scores the bias alone; nulls among the labels are ignored, and a
@@ -98,6 +99,13 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"gram": part.astype(np.int32), "clean": counts[0, part], "toxic": counts[1, part]})
 
 
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The kept n-grams, ascending, and their ratios as one row."""
+    if parts := list(batches):
+        rows = pd.concat(parts).sort_values("gram")
+        yield pd.DataFrame({"grams": [rows["gram"].to_numpy(np.int32).tobytes()], "ratios": [rows["ratio"].to_numpy(float).tobytes()]})
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """(hashed n-grams, their weights, bias), from the labelled rows of the training fold."""
     sample = _sample(docs, labels)
@@ -114,27 +122,34 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
         .withColumn("ratio", F.log((F.col("p") + 1) / (n1 + 2)) - F.log((F.col("q") + 1) / (n0 + 2)))
         .withColumn("evidence", F.abs("ratio") * F.sqrt(F.col("p") / n1 + F.col("q") / n0))
         .orderBy(F.desc("evidence"), "gram").limit(FEATURES)
-        .select("gram", "ratio").toPandas().sort_values("gram")
+        .select("gram", "ratio").mapInPandas(_packed, "grams binary, ratios binary").collect()
     )
-    if not len(counted):
+    ids, ratio = (np.frombuffer(b"".join(r[c] for r in counted), dtype=t) for c, t in (("grams", np.int32), ("ratios", float)))
+    if not len(ids):
         rate = (n1 + 1) / (n0 + n1 + 2)
         return *nothing, float(np.log(rate / (1 - rate)))
-    ids = counted["gram"].to_numpy()
-    ratio = counted["ratio"].to_numpy(dtype=float)
-    chosen = sample.sparkSession.sparkContext.broadcast(ids)
+    chosen = sample.sparkSession.sparkContext.broadcast((ids, ratio))
+    short = np.min_scalar_type(len(ids))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, _ = chosen.value
         keep = np.zeros(1 << BITS, dtype=bool)
-        keep[chosen.value] = True
+        keep[ids] = True
         for batch in batches:
-            found = [(g := grams(t))[keep[g]].tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "grams": found})
-
-    rows = sample.mapInPandas(features, "doc_id long, toxic int, grams binary").toPandas()
-    rows = rows.sort_values(["doc_id", "toxic"], kind="stable")
-    lists = [np.searchsorted(ids, np.frombuffer(b, dtype=np.int32)).astype(np.int32) for b in rows.pop("grams")]
-    beta, bias = logistic(lists, ratio, rows["toxic"].to_numpy(dtype=float))
-    return ids, beta * ratio, bias
+            found = [np.searchsorted(ids, (g := grams(t))[keep[g]]).astype(short).tobytes() for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "features": found})
+
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _, ratio = chosen.value
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["doc_id", "toxic"], kind="stable")
+        lists = [np.frombuffer(b, dtype=short) for b in rows.pop("features")]
+        beta, bias = logistic(lists, ratio, rows["toxic"].to_numpy(dtype=float))
+        yield pd.DataFrame({"weights": [(beta * ratio).tobytes()], "bias": [bias]})
+
+    # one task holds the sample's features (2 * SAMPLE rows at most); the driver gets the weights alone
+    rows = sample.mapInPandas(features, "doc_id long, toxic int, features binary").repartition(1)
+    model = rows.mapInPandas(fitted, "weights binary, bias double").collect()[0]
+    return ids, np.frombuffer(model["weights"], dtype=float), model["bias"]
 
 
 def logistic(lists: list[np.ndarray], scale: np.ndarray, y: np.ndarray, l2: float = L2, lift: float = LIFT) -> tuple[np.ndarray, float]:

@@ -65,3 +65,16 @@ def test_scores_equal_brute_force(spark):
     want = sorted((str(i), s) for i, _, s in _brute(rows, labels))
     assert sum(got.values()) == len(rows) and [i for i, _ in scores] == [i for i, _ in want]
     assert max(abs(a - b) for (_, a), (_, b) in zip(scores, want)) < 0.01
+
+
+def test_features_of_documents_stay_off_the_driver(spark, monkeypatch):
+    """However many rows are labelled, the driver gets a row for each class, one of n-grams and one of weights."""
+    rows = [(i, ("vile scum of liars " if i % 3 == 0 else "the fair wind blows ") * (1 + i % 4)) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    got = []
+    for name in ("collect", "toPandas"):
+        monkeypatch.setattr(type(docs), name, lambda self, f=getattr(type(docs), name): (out := f(self), got.append(len(out)))[0])
+    ids, weights, _ = toxicity.fit(docs, labels)
+    assert len(ids) == len(weights) > 0 and (np.diff(ids) > 0).all()
+    assert got == [2, 1, 1]
